@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionweave.llm import neardup, quality, secrets
+from sessionweave.llm import decontaminate, neardup, quality, secrets
 from sessionweave.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,12 +22,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return neardup.deduplicated(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan reports is replaced by a mark."""
     return secrets.redacted(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans)]
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_decontamination", benchmark_decontamination), ("secret_scans", secret_scans)]
 
 ORACLE_SQL = None
 
