@@ -148,7 +148,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 75, miss: float =
     pairs = placed.select("node", "component", "mine", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     task = pairs.select("node", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     task = task.withColumn("bucket", F.pmod(F.xxhash64("component", "i", "j"), F.lit(16 * partitions(docs.sparkSession))))
-    work = given.join(task, given.doc_id == task.node).select("bucket", "component", "i", "j", "node", "text")
+    # the same plan at every size: texts are dealt by id, and no side is sent whole to every executor
+    work = given.join(task.hint("merge"), given.doc_id == task.node).select("bucket", "component", "i", "j", "node", "text")
 
     def verified(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("component", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
