@@ -150,10 +150,10 @@ def anchors(w: Words, hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarr
     """Minimisers: runs of windows (of `window` words) whose least k-word hash stands at one place.
 
     Equal windows have their anchor at the same place, so all places of a repeated window meet under
-    one hash. Returns (hash at the anchor, document, first window, last window), windows counted from
-    the document's first word.
+    one hash. Returns (hash at the anchor, document, first window, last window, place of the anchor),
+    places counted in words from the document's first.
     """
-    none = (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
+    none = (np.zeros(0, U), *[np.zeros(0, np.int64)] * 4)
     n = len(hashes)
     if n < window:
         return none
@@ -170,7 +170,8 @@ def anchors(w: Words, hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarr
     lo = np.flatnonzero(fresh)
     hi = np.append(lo[1:], len(good)) - 1
     doc = np.searchsorted(w.bounds, at[lo], side="right") - 1
-    return g[at[lo]], doc, good[lo] - w.bounds[doc], good[hi] - w.bounds[doc]
+    begin = w.bounds[doc]
+    return g[at[lo]], doc, good[lo] - begin, good[hi] - begin, at[lo] - begin
 
 
 def signed(x: np.ndarray) -> np.ndarray:
