@@ -36,7 +36,7 @@ class Trie:
         self.base, self.check, self.value = [0] * 512, [-1] * 512, [-1] * 512
         self.check[0] = 0
         # wide nodes are placed one after another, and single children fill the holes between them
-        todo, free, wide = deque([(0, nested)]), 1, 1
+        todo, free, wide = deque([(0, nested)]), 257, 0
         while todo:
             s, node = todo.popleft()
             self.value[s] = node.get(-1, -1)
