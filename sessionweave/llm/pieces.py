@@ -9,6 +9,7 @@ path of a text is that of its stretches between such places, and frequent stretc
 from __future__ import annotations
 
 import re
+import uuid
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -172,7 +173,7 @@ class Coder:
         return raw.removeprefix(b" ").decode("utf-8", errors="replace")
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -182,7 +183,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     and no tokens; an empty one has an empty array.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.loaded(path))
-    key = sent.id if hasattr(sent, "id") else id(sent)
+    key = uuid.uuid4().hex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _coders:
