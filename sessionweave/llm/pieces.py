@@ -103,7 +103,7 @@ class Vocabulary:
 
 
 class Coder:
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 150_000):
         self.v = vocabulary
         self.least = min((vocabulary.scores[i] for i in vocabulary.trie.value if i >= 0), default=0.0) - 10.0
         inner = any(MARK in p.lstrip(MARK) or "\n" in p for p in vocabulary.pieces)

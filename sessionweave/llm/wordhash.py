@@ -7,6 +7,7 @@ Work is done on slices of a few MB, so memory follows the longest document, not
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -107,6 +108,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = lambda _: 0
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers are kept and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, documents, bytes, offsets) of runs of documents with about `most` bytes."""
     data, offsets = buffers(column)
@@ -115,6 +128,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release()
 
 
 def split(data: np.ndarray, offsets: np.ndarray, first: int = 0) -> Words:
