@@ -171,7 +171,27 @@ SCORED = "kind int, bucket int, batch int, place int, doc_id long, held_out bool
 KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 24 << 20) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch number as one compressed blob: texts are what travels most."""
+    for b in batches:
+        number = b.column(b.num_columns - 1).to_numpy()
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order])) + 1
+        out = []
+        for rows in np.split(order, cuts):
+            part = b.take(pa.array(rows))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(part)
+            out.append((int(number[rows[0]]), sink.getvalue().to_pybytes()))
+        yield pa.record_batch([pa.array([n for n, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["batch", "blob"])
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["blob"]]).combine_chunks()
+
+
+def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 10 << 20) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod `mod` is `rest` are held out, and so is what has a null id
@@ -189,9 +209,10 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 24 <
     total, train_docs = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     n_batches, buckets = 1 + total // batch_bytes, partitions(spark)
     often, often_counts = _frequent(given)
-    dealt = given.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
+    dealt = given.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).mapInArrow(_packed, "batch int, blob binary")
 
     def ask(rows: pa.Table) -> pa.Table:
+        rows = _unpacked(rows)
         t = _tokens(rows["text"])
         p = _pairs(t, often, buckets)
         learnt = np.bincount(p.of_token, rows["train"].to_numpy().astype(float)[t.doc], minlength=len(p.word)).astype("<u4")
@@ -250,6 +271,7 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 24 <
         names = [c.split()[0] for c in SCORED.split(", ")]
         if not rows.num_rows:
             return pa.table([pa.array([], t) for t in arrow], names)
+        rows = _unpacked(rows)
         t = _tokens(rows["text"])
         p = _pairs(t, often, buckets)
         replies = replies.sort_by("bucket")
