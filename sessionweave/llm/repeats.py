@@ -28,6 +28,8 @@ from .shared import partitions
 Decide = Callable[[list[bytes], list[int], int], list[list[tuple[int, int]]]]
 
 K = 8
+#: of stretches, and number of places, that are held before they are sent on
+SENT_BYTES, SENT_PLACES = 16 << 20, 200_000
 
 
 def _anchors(given: DataFrame, k: int, window: int) -> DataFrame:
@@ -44,10 +46,20 @@ def _anchors(given: DataFrame, k: int, window: int) -> DataFrame:
 def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataFrame:
     """Distinct stretches of each batch with their counts (texts), or the places of each stretch."""
 
+    def told(found: dict[tuple[int, bytes], int] | list[tuple]) -> pa.RecordBatch:
+        if texts:
+            columns = ([k % buckets for k, _ in found], [k for k, _ in found], [s for _, s in found], list(found.values()))
+            kinds, names = (pa.int32(), pa.int64(), pa.binary(), pa.int64()), ["bucket", "key", "stretch", "n"]
+        else:
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["key", "print", "row", "part", "at"]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bytes], int] = {}
+        places: list[tuple[int, int, int, int, int]] = []
+        size = 0
         for b in batches:
-            seen: dict[tuple[int, bytes], int] = {}
-            places: list[tuple[int, int, int, int, int]] = []
             for row, part, text, anchors in zip(*(b.column(i) for i in range(4)), strict=True):
                 row, part, words = row.as_py(), part.as_py(), (text.as_py() or "").encode().split()
                 for a in anchors.as_py():
@@ -55,17 +67,18 @@ def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataF
                     for lo, hi in spans:
                         stretch = b" ".join(words[lo : hi + window])
                         key = a["h"] if not a["hot"] else xxhash.xxh64_intdigest(stretch, 1) - (1 << 63)
-                        if texts:
-                            seen[key, stretch] = seen.get((key, stretch), 0) + 1
-                        else:
+                        if not texts:
                             places.append((key, xxhash.xxh3_64_intdigest(stretch) - (1 << 63), row, part, lo))
-            if texts:
-                yield pa.record_batch(
-                    [pa.array([k % buckets for k, _ in seen], pa.int32()), pa.array([k for k, _ in seen], pa.int64()), pa.array([s for _, s in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                    ["bucket", "key", "stretch", "n"],
-                )
-            else:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*places, strict=True) if places else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "print", "row", "part", "at"])
+                        elif (key, stretch) in seen:
+                            seen[key, stretch] += 1
+                        else:
+                            seen[key, stretch] = 1
+                            size += len(stretch)
+                if size > SENT_BYTES or len(places) > SENT_PLACES:
+                    yield told(seen if texts else places)
+                    seen, places, size = {}, [], 0
+        yield told(seen if texts else places)
+        W.release()
 
     return held.mapInArrow(cut, "bucket int, key long, stretch binary, n long" if texts else "key long, print long, row long, part int, at int")
 
