@@ -577,7 +577,7 @@ def replacement_sizes(spark: SparkSession, d: str) -> DataFrame:
 # time, streams, folds
 
 
-@query("""SELECT event_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d') AS local_day, epoch_ms(ts) AS ms FROM events""")
+@query("""SELECT event_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m-%d') AS local_day, epoch_us(ts) // 1000 AS ms FROM events""")
 def time_buckets(spark: SparkSession, d: str) -> DataFrame:
     ts = F.col("ts")
     return _events(spark, d).select("event_id", clock.week(ts).alias("week"), clock.day(ts, "America/New_York").alias("local_day"), clock.millis(ts).alias("ms"))

@@ -75,13 +75,13 @@ def headers(log: DataFrame) -> DataFrame:
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
     """A conversations table as entries: the parent of a turn is the turn before it."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
     return conversations.select(
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("line"),
         F.concat_ws(":", "conv_id", "turn").alias("id"),
-        F.concat_ws(":", "conv_id", F.lag("turn").over(order)).alias("parent"),
-        F.lag("turn").over(order).alias("parent_line"),
+        F.when(before.isNotNull(), F.concat_ws(":", "conv_id", before)).alias("parent"),
+        before.alias("parent_line"),
         F.lit("message").alias("type"),
         "role",
         "text",

@@ -33,20 +33,20 @@ def packed(df: DataFrame, group: str, order: str, size: Column, limit: int) -> D
 
     One group's rows are folded in order; its sizes alone are read, not its texts.
     """
-    keys = df.select(F.col(group).alias("g"), F.col(order).alias("o"), size.cast("long").alias("s"))
+    keys = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), size.cast("long").alias("_s"))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o", kind="stable")
+        rows = rows.sort_values("_o", kind="stable")
         bins, at, used, empty = [], 0, 0, True
-        for s in rows["s"].tolist():
+        for s in rows["_s"].tolist():
             if not empty and used + s > limit:
                 at, used, empty = at + 1, 0, True
             bins.append(at)
             used, empty = used + s, False
-        return rows.assign(bin=pd.Series(bins, index=rows.index, dtype="int64"))[["g", "o", "bin"]]
+        return rows.assign(bin=pd.Series(bins, index=rows.index, dtype="int64"))[["_g", "_o", "bin"]]
 
-    placed = keys.groupBy("g").applyInPandas(fill, f"g {df.schema[group].dataType.simpleString()}, o {df.schema[order].dataType.simpleString()}, bin long")
-    return df.join(placed, (df[group] == placed.g) & (df[order] == placed.o)).drop("g", "o")
+    placed = keys.groupBy("_g").applyInPandas(fill, f"_g {df.schema[group].dataType.simpleString()}, _o {df.schema[order].dataType.simpleString()}, bin long")
+    return df.join(placed, (df[group] == placed["_g"]) & (df[order] == placed["_o"])).drop("_g", "_o")
 
 
 def rows_of(df: DataFrame) -> Iterator:
