@@ -1,8 +1,8 @@
 """Quality rules judged by an isolation forest over rule statistics.
 
 Every document gets rule statistics from its whole text. Trees of random splits are grown on a
-bounded sample of labelled good rows; a document whose mean path is short is anomalous. The
-threshold on that score is chosen on labelled rows that grew no tree.
+bounded sample of labelled rows, good and bad as they come; a document whose mean path is short is
+anomalous. The threshold on that score is chosen on labelled rows that grew no tree.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts.append(np.stack([n, chars, symbols, dups, repeated], 1))
         some, ink = np.maximum(n, 1), np.maximum(chars, 1)
         upper, punct = (_per_doc(x[w.data], w.offsets) / ink for x in (_UPPER, _PUNCT))
-        features.append(np.stack([symbols / some, punct, repeated / some, upper], 1))
+        features.append(np.sqrt(np.stack([symbols / some, punct, repeated / some, upper], 1)))
     return np.concatenate(counts), np.concatenate(features)
 
 
@@ -90,7 +90,7 @@ class Forest:
     norm: float
 
     @staticmethod
-    def grown(x: np.ndarray, trees: int = 200, sample: int = 1024, seed: int = 0) -> Forest:
+    def grown(x: np.ndarray, trees: int = 200, sample: int = 128, seed: int = 0) -> Forest:
         rng = np.random.default_rng(seed)
         sample = min(sample, len(x))
         depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, clean_loss:
 
     got = picked.mapInArrow(measured, "quality int, half long, x array<double>").limit(4 * most_rows).collect()
     got.sort(key=lambda r: (r.half, r.quality, r.x))
-    grow = np.array([r.x for r in got if r.quality == 1 and r.half == 0]).reshape(-1, len(FEATURES))
+    grow = np.array([r.x for r in got if r.half == 0]).reshape(-1, len(FEATURES))
     good = np.array([r.x for r in got if r.quality == 1 and r.half == 1]).reshape(-1, len(FEATURES))
     bad = np.array([r.x for r in got if r.quality == 0 and r.half == 1]).reshape(-1, len(FEATURES))
     if len(grow) < 2 or not len(good) or not len(bad):
@@ -176,14 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, clean_loss:
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
 
 
-def judged(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """The columns `keep` of docs, with COUNTS, base_failed, anomaly and kept, one row per row of docs.
-
-    A document of fewer than `min_words` words, or with over `repeat_percent` of them in repeated
-    windows, fails outright; the forest judges the others. Null or empty text has no words and fails.
-    """
-    columns = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    given = docs.select(F.col("text").cast("string").alias("_text"), *columns)
+def _judged(docs: DataFrame, model: Model, keep: tuple[str, ...], min_words: int, repeat_percent: int) -> DataFrame:
+    """Columns `keep` under names of their own, so that none can clash, and the verdict."""
+    given = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,12 +190,20 @@ def judged(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), m
 
     fields = given.schema.fields[1:]
     names = [f.name for f in fields] + [c.split()[0] for c in SCHEMA.split(", ")]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), SCHEMA])
-    out = given.mapInArrow(judge, schema)
-    return out.withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})
+    return given.mapInArrow(judge, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), SCHEMA]))
+
+
+def judged(docs: DataFrame, model: Model, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """One row per row of docs: doc_id, COUNTS, base_failed, anomaly, kept.
+
+    A document of fewer than `min_words` words, or with over `repeat_percent` of them in repeated
+    windows, fails outright; the forest judges the others. Null or empty text has no words and fails.
+    """
+    return _judged(docs, model, ("doc_id",), min_words, repeat_percent).withColumnRenamed("_keep0", "doc_id")
 
 
-def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def filtered(docs: DataFrame, labels: DataFrame, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
     names = tuple(docs.columns)
-    return judged(docs, fit(docs, labels), names).where("kept").select(*names)
+    out = _judged(docs, fit(docs, labels), names, min_words, repeat_percent).where("kept")
+    return out.select(*(F.col(f"_keep{i}").alias(c) for i, c in enumerate(names)))
