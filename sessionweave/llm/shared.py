@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +33,22 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
-    # shuffle files go once the driver has collected the plans that made them
-    df.sparkSession._jvm.System.gc()
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries: they go once the driver has collected their plans.
+
+    What listeners have still to hear of a query holds its plan, so the listeners come first.
+    """
+    for _ in range(2):
+        with contextlib.suppress(Exception):
+            spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that written() made; only for one that no lazy plan still reads."""
     spark, path = df.sparkSession, df._written_at
