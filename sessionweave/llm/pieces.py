@@ -9,7 +9,6 @@ path of a text is that of its stretches between such places, and frequent stretc
 from __future__ import annotations
 
 import re
-import uuid
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import release
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -173,9 +174,6 @@ class Coder:
         return raw.removeprefix(b" ").decode("utf-8", errors="replace")
 
 
-_coders: dict[str, Coder] = {}
-
-
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_byte_tokens, token_ids, restored.
 
@@ -183,13 +181,9 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     and no tokens; an empty one has an empty array.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.loaded(path))
-    key = uuid.uuid4().hex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _coders:
-            _coders.clear()
-            _coders[key] = Coder(sent.value)
-        coder = _coders[key]
+        coder = Coder(sent.value)
         is_byte = np.zeros(len(coder.v.pieces), bool)
         is_byte[[i for i in coder.v.byte_ids if i >= 0]] = True
         for b in batches:
@@ -204,6 +198,8 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 same = [None if t is None else coder.decode(x) == t for t, x in zip(texts, ids, strict=True)]
                 n_bytes = np.array([int(is_byte[x].sum()) for x in ids], np.int64)
                 yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(n_bytes), lists, pa.array(same, pa.bool_())], names)
+        coder.memory.clear()
+        release()
 
     schema = "doc_id long, n_tokens long, n_byte_tokens long, token_ids array<int>, restored boolean"
     names = [c.split()[0] for c in schema.split(", ")]
