@@ -16,7 +16,7 @@ from sessionweave.functions import clock, numbers, text
 from sessionweave.functions.content import estimate_tokens, read_mode, total_tokens, utf16
 from sessionweave.functions.fuzzy import fuzzy_filter, parse_query, search_score
 from sessionweave.functions.replaced import replacement, truncated
-from sessionweave.operators import folds, matching, merging, positions, ranking, reports, trees
+from sessionweave.operators import folds, matching, merging, positions, predicates, ranking, reports, sessions, trees
 from sessionweave.sources.session_log import from_conversations
 from sessionweave.sources.sinks import packed
 from sessionweave.streaming import live
@@ -623,3 +623,76 @@ def rebuilt_messages(spark: SparkSession, d: str) -> DataFrame:
 def context_tokens(spark: SparkSession, d: str) -> DataFrame:
     total = F.when(F.col("k") % 2 == 0, F.lit(0)).otherwise(F.col("k"))
     return _events(spark, d).select("event_id", total_tokens(total, F.col("k"), F.lit(10)).cast("long").alias("tokens"))
+
+
+# predicates and previews
+
+
+@query(f"""SELECT event_id, CASE WHEN k % 3 = 0 THEN 'running' WHEN k % 5 = 0 THEN 'inactive' WHEN k % 2 = 0 THEN 'running' ELSE 'idle' END AS status, CASE WHEN k % 7 = 0 THEN 'archived' WHEN k > 50 THEN 'live' ELSE 'draft' END AS lifecycle, CASE WHEN k >= 90 THEN 'maxTurns' WHEN value >= 80 THEN 'maxTokens' END AS reason, k > 100 - 40 AS compact FROM (SELECT event_id, value, {K} AS k FROM events)""")
+def session_classes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    return _events(spark, d).select(
+        "event_id",
+        predicates.agent_status(k % 3 == 0, k % 5 != 0, k % 2 == 0).alias("status"),
+        predicates.lifecycle(k % 7 == 0, F.greatest(k - 50, F.lit(0))).alias("lifecycle"),
+        predicates.limit_reason([("maxTurns", k, F.lit(90)), ("maxTokens", F.col("value"), F.lit(80))]).alias("reason"),
+        predicates.should_compact(k, F.lit(100), 40).alias("compact"),
+    )
+
+
+@query("""SELECT event_id, event_type = 'error' AND event_id % 3 < 1 OR event_type <> 'error' AND event_id % 10 > 7 AS overflow FROM events""")
+def context_overflows(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    said = F.when(i % 3 == 0, "400: Prompt is too long").when(i % 3 == 1, "Rate limit: too many tokens").otherwise("odd")
+    stop = F.when(F.col("event_type") == "error", "error").otherwise("stop")
+    return _events(spark, d).select("event_id", predicates.context_overflow(stop, said, i % 10, F.lit(7)).alias("overflow"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'remove-file' WHEN s_suppkey = 1 THEN 'skip' WHEN s_suppkey % 7 = 1 THEN CASE WHEN s_suppkey % 4 > 0 AND count(*) OVER (PARTITION BY s_nationkey) = 1 THEN 'kill' ELSE 'skip' END WHEN s_suppkey % 2 = 1 THEN 'skip' ELSE 'shutdown' END AS action FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_nationkey * 1000 + s_suppkey % 3 ELSE -s_suppkey - 1 END AS s_nationkey FROM supplier)""")
+def reap_plan(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("s_suppkey")
+    daemons = _t(spark, d, "supplier").select(
+        "s_suppkey",
+        F.when(i % 4 > 0, F.col("s_nationkey") * 1000 + i % 3).alias("pid"),
+        F.when(i % 7 == 0, "orphan-file").when(i % 7 == 1, "unreachable").otherwise("ok").alias("status"),
+        (i == 1).alias("is_default"),
+        (i % 2).alias("sessions"),
+    )
+    return predicates.reap_plan(daemons, True).select("s_suppkey", "action")
+
+
+@query("""SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type IN ('view', 'click') AND event_type NOT IN (SELECT event_type FROM events e WHERE e.user_id = events.user_id AND e.event_type IN ('purchase', 'error')))), ',') AS read_files, coalesce(array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type IN ('purchase', 'error'))), ','), '') AS modified_files FROM events GROUP BY user_id""")
+def file_operations(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("view", "click"), "read").when(F.col("event_type").isin("purchase", "error"), "edit")
+    out = sessions.file_lists(_events(spark, d).withColumn("kind", kind), "user_id", "event_type", "kind")
+    return out.select("user_id", F.array_join("read_files", ",").alias("read_files"), F.array_join("modified_files", ",").alias("modified_files"))
+
+
+@query("""SELECT event_type AS status, count(*) AS files, CAST(sum(event_id) AS BIGINT) AS bytes FROM events GROUP BY 1""")
+def upload_totals(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.upload_totals(_events(spark, d).select(F.col("event_type").alias("status"), F.col("event_id").alias("bytes")))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'git commit -m x' WHEN 'view' THEN 'ls' ELSE 'echo b' END AS part FROM events""")
+def command_previews(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_type")
+    said = F.when(e == "click", "cd a && git commit -m x; ls").when(e == "view", "ls").otherwise("echo a; echo b")
+    return sessions.command_preview(_events(spark, d).select("event_id", said.alias("c")), "event_id", "c")
+
+
+@query("""SELECT user_id, row_number() OVER (ORDER BY CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 3 = 1 THEN 1 ELSE 2 END, CASE WHEN n = 0 AND user_id <> 5 THEN 1 ELSE 0 END, CASE WHEN user_id % 3 = 2 THEN CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END ELSE 0 END DESC, CASE WHEN user_id % 3 > 0 THEN CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END ELSE 0 END DESC, CASE WHEN user_id % 3 > 0 THEN epoch_ms(last) ELSE 0 END DESC, epoch_ms(first) DESC, user_id) AS place FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS n, max(date_trunc('day', ts)) AS last, min(date_trunc('day', ts)) AS first FROM events GROUP BY 1)""")
+def roster_order(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("user_id")
+    g = _events(spark, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("n"), F.max(F.date_trunc("day", "ts")).alias("last"), F.min(F.date_trunc("day", "ts")).alias("first"))
+    section = F.when(u % 3 == 0, "running").when(u % 3 == 1, "idle").otherwise("inactive")
+    keys = predicates.roster_order(section, F.col("n"), u == 5, u % 4 == 0, (u % 5 == 0).cast("int"), F.col("last"), F.col("first"), F.format_string("%012d", "user_id"), F.col("user_id").cast("string"))
+    # a list on screen: one row per session of one user
+    return g.select("user_id", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+
+
+@query("""SELECT conv_id AS file, string_agg(CASE WHEN role = 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' GROUP BY 1""")
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    from sessionweave.sources.session_log import blocks
+
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), "role", blocks(F.col("text")).alias("blocks"))
+    return sessions.transcripts(c)
