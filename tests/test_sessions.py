@@ -73,7 +73,7 @@ def test_model_messages_and_transcript(log):  # noqa: ANN001
 def test_views(log):  # noqa: ANN001
     assert [r.section for r in sessions.sections(log).orderBy("line").collect()] == ["[USER]\ndo it", "[ASSISTANT]\nok"]
     p = sessions.previews(log).orderBy("line").collect()
-    assert p[1].text == "hm\nok\n[tool_call:bash]" and p[1].tool_calls == ["bash"] and p[1].index == 1
+    assert p[1].text == "hm\nok\n[tool_call:bash]" and p[1].tool_calls == ["bash"] and p[1]["index"] == 1
     assert [(r.target, r.label) for r in sessions.labels(log).collect()] == [("1", "start")]
     assert sessions.custom_entries(log, "refinement").first().data == '{"v":1}'
     u = log.where("message.usage is not null").select(sessions.usage_summary(F.col("message.usage")).alias("u")).first().u
