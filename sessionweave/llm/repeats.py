@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .shared import partitions
+from .shared import partitions, written
 
 #: of one group's stretches (words joined by spaces), their counts and the window: per stretch, the
 #: runs (first word, end) of words inside windows that stand twice or more
@@ -30,6 +30,8 @@ Decide = Callable[[list[bytes], list[int], int], list[list[tuple[int, int]]]]
 K = 8
 #: of stretches, and number of places, that are held before they are sent on
 SENT_BYTES, SENT_PLACES = 16 << 20, 200_000
+#: the most anchors that are sent to every executor
+HOT_ANCHORS = 10_000
 
 
 def _anchors(given: DataFrame, k: int, window: int) -> DataFrame:
@@ -93,12 +95,21 @@ def covers(given: DataFrame, decide: Decide, window: int, k: int = K, hot: int =
     """(row, part, spans) for each row of keyed() with a word in a repeated window.
 
     Equal rows are places of their own, and get equal spans. spans are sorted disjoint [first word, end) pairs, flat. `hot` is the number of places of one
-    anchor from which its stretches are cut to single windows.
+    anchor, or a larger one that at most HOT_ANCHORS reach, over which its stretches are cut to single
+    windows.
     """
     buckets = 16 * partitions(given.sparkSession)
     anchors = _anchors(given, k, window)
-    often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    flagged = anchors.join(often.hint("merge"), "h").groupBy("row", "part").agg(F.collect_list(F.struct("h", "hot", "lo", "hi")).alias("anchors"))
+    counts = written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most HOT_ANCHORS have so many places: few enough to send, and their places need not meet
+    least = max(hot, total // HOT_ANCHORS)
+    known = anchors.join(F.broadcast(counts.where(F.col("n") > least).select("h", F.lit(True).alias("hot"))), "h", "left")
+    often = counts.where(F.col("n") <= least).select(F.col("h").alias("key"))
+    # places of hot anchors go by their own hash, to where nothing matches them
+    spread = known.withColumn("key", F.when(F.col("hot"), F.xxhash64("h", "row", "part", "lo")).otherwise(F.col("h")))
+    met = spread.join(often.withColumn("often", F.lit(True)).hint("merge"), "key", "left").where("hot or often")
+    flagged = met.groupBy("row", "part").agg(F.collect_list(F.struct("h", F.coalesce("hot", F.lit(False)).alias("hot"), "lo", "hi")).alias("anchors"))
     held = given.join(flagged.hint("merge"), ["row", "part"])
 
     def decided(rows: pa.Table) -> pa.Table:
