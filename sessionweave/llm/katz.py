@@ -165,6 +165,7 @@ def _of_counts(x: np.ndarray) -> np.ndarray:
     return np.bincount(x[(x > 0) & (x <= TOP + 1)], minlength=TOP + 2)
 
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 ANSWER = "batch int, bucket int, pairs binary, owned binary, words binary, stats array<long>"
 SCORED = "kind int, bucket int, batch int, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, a binary, b binary, c binary"
 
@@ -324,11 +325,20 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 16 <
         others = 1 - np.bincount(at, model.words(word_times), minlength=len(v))
         weight = np.log10(np.maximum(freed, 1e-300)) - np.log10(np.maximum(others, 1e-300))
         where = np.searchsorted(v, wanted)
-        key, which = np.unique(batch * (1 << 32) + place, return_inverse=True)
-        total = np.bincount(which, weight[where], minlength=len(key)) if len(key) else np.zeros(0)
-        return pa.table([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["batch", "place", "backed"])
-
-    backed = parts.where("kind > 0").select("kind", "bucket", "batch", "a", "b", "c").groupBy("bucket").applyInArrow(back_off, "batch int, place int, backed double")
-    extra = backed.groupBy("batch", "place").agg(F.sum("backed").alias("backed"))
-    out = parts.where("kind = 0").join(extra.hint("merge"), ["batch", "place"], "left")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score"))
+        order = np.argsort(batch, kind="stable")
+        cut = np.append(np.flatnonzero(np.append(True, np.diff(batch[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+        value = weight[where]
+        runs = [order[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([pa.array([int(batch[r[0]]) for r in runs], pa.int32()), pa.array([place[r].astype("<u4").tobytes() for r in runs], pa.binary()), pa.array([value[r].tobytes() for r in runs], pa.binary())], ["batch", "places", "backed"])
+
+    def add(rows: pa.Table, backed: pa.Table) -> pa.Table:
+        place = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_py(), "<u4") for x in backed["places"])]).astype(np.int64)
+        value = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_py()) for x in backed["backed"])])
+        extra = np.bincount(place, value, minlength=rows.num_rows)
+        score = pa.array(rows["score"].to_numpy() + extra[rows["place"].to_numpy()])
+        return pa.table([rows[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")] + [score], [c.split()[0] for c in RESULT.split(", ")])
+
+    backed = parts.where("kind > 0").select("kind", "bucket", "batch", "a", "b", "c").groupBy("bucket").applyInArrow(back_off, "batch int, places binary, backed binary")
+    own = parts.where("kind = 0").select("batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    out = own.groupBy("batch").cogroup(backed.groupBy("batch")).applyInArrow(add, RESULT)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
