@@ -192,7 +192,7 @@ def _unpacked(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["blob"]]).combine_chunks()
 
 
-def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 16 << 20) -> DataFrame:
+def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 12 << 20) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod `mod` is `rest` are held out, and so is what has a null id
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 16 <
         F.coalesce(crc32_mod("doc_id", mod) != rest, F.lit(False)).alias("train"),
     )
     total, train_docs = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    n_batches, buckets = 1 + total // batch_bytes, partitions(spark)
+    n_batches, buckets = 1 + total // batch_bytes, 4 * partitions(spark)
     often, often_counts = _frequent(given)
     dealt = given.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).mapInArrow(_packed, "batch int, blob binary")
 
