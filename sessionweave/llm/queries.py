@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, katz, langid, licenses, neardup, pieces, quality, secrets, substrings, suffixes
+from . import decontaminate, katz, langid, licenses, neardup, oracles, pieces, quality, secrets, substrings, suffixes
 from .shared import table
 
 
@@ -54,4 +54,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_license_scans, op4_language_id, op5_suffix_array_dedup, op6_secret_scans, op7_near_duplicates, op8_sentencepiece, op9_quality_rules, op10_lm_scoring)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op5_suffix_array_dedup": oracles.SUFFIXES,
+    "op6_secret_scans": oracles.SECRETS,
+    "op7_near_duplicates": oracles.NEAR_DUPLICATES,
+}
