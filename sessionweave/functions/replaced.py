@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import math
 import re
 import shlex
 import unicodedata
@@ -215,20 +216,70 @@ def json_object(text: str) -> dict | None:
 def coerced(value: object, kind: str) -> object:
     """A scalar as another JSON type; null becomes its empty value, and what cannot be read stays."""
     if kind in ("number", "integer"):
-        if value is None:
-            return 0
-        if isinstance(value, bool):
-            return int(value)
-        if isinstance(value, str):
+        if value is None or isinstance(value, bool):
+            return int(value or 0)
+        if isinstance(value, str) and value.strip():
             try:
                 number = float(value)
             except ValueError:
                 return value
-            return int(number) if number == int(number) else value if kind == "integer" else number
+            whole = math.isfinite(number) and number == int(number)
+            return int(number) if whole else number if kind == "number" and math.isfinite(number) else value
     if kind == "boolean":
-        return False if value is None else {"true": True, "false": False}.get(value.lower(), value) if isinstance(value, str) else bool(value) if value in (0, 1) else value
+        if value is None:
+            return False
+        if isinstance(value, str):
+            return {"true": True, "false": False}.get(value, value)
+        return bool(value) if value in (0, 1) else value
     if kind == "string":
-        return "" if value is None else value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+        return "" if value is None else json.dumps(value) if isinstance(value, (bool, int, float)) else value
+    return value
+
+
+_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == int(value))
+    return isinstance(value, _TYPES.get(kind, ()))
+
+
+def _fits(value: object, schema: dict) -> bool:
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return False
+    if "const" in schema and value != schema["const"] or "enum" in schema and value not in schema["enum"]:
+        return False
+    if isinstance(value, dict):
+        own = schema.get("properties", {})
+        return all(k in value for k in schema.get("required", [])) and all(_fits(v, own[k]) for k, v in value.items() if k in own)
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        return all(_fits(v, schema["items"]) for v in value)
+    return True
+
+
+def conformed(value: object, schema: dict) -> object:
+    """A value brought to a JSON schema where its scalars can be read so; unions take the first member that fits."""
+    for part in schema.get("allOf", []):
+        value = conformed(value, part)
+    for union in (schema.get("anyOf"), schema.get("oneOf")):
+        if union and not any(_fits(value, u) for u in union):
+            tried = (conformed(json.loads(json.dumps(value)), u) for u in union)
+            value = next((t for t, u in ((t, u) for t, u in zip(tried, union, strict=True)) if _fits(t, u)), value)
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        value = next((c for c in (coerced(value, k) for k in kinds) if c is not value and c != value or type(c) is not type(value)), value)
+    if isinstance(value, dict) and "object" in kinds:
+        own, rest = schema.get("properties", {}), schema.get("additionalProperties")
+        return {k: conformed(v, own[k]) if k in own else conformed(v, rest) if isinstance(rest, dict) else v for k, v in value.items()}
+    if isinstance(value, list) and "array" in kinds:
+        items = schema.get("items")
+        if isinstance(items, list):
+            return [conformed(v, items[i]) if i < len(items) else v for i, v in enumerate(value)]
+        return [conformed(v, items) for v in value] if isinstance(items, dict) else value
     return value
 
 

@@ -69,6 +69,73 @@ def rebuilt_batch(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("session").applyInPandas(whole, MESSAGE)
 
 
+RUN = "session string, run long, turns long, tools long, errors long, first_text_ms long, ms long, outcome string"
+
+
+def run_rows(held: list[int], rows: pd.DataFrame) -> Iterator[tuple]:
+    """(run, turns, tools, errors, first_text_ms, ms, outcome) at the end of each run of (seq, kind, ms).
+
+    held is [run, start, turns, tools, errors, first text or -1], start -1 between runs. A start
+    before the end closes the run as lost; what comes between runs is dropped.
+    """
+    for e in rows.sort_values("seq").itertuples(index=False):
+        running = held[1] >= 0
+        if e.kind in ("run_start", "run_end", "run_error") and running:
+            outcome = {"run_start": "lost", "run_end": "done", "run_error": "error"}[e.kind]
+            yield held[0], held[2], held[3], held[4], held[5] if held[5] >= 0 else None, int(e.ms) - held[1], outcome
+            held[1] = -1
+        if e.kind == "run_start":
+            held[:] = [held[0] + 1, int(e.ms), 0, 0, 0, -1]
+        elif running:
+            held[2] += e.kind == "turn_start"
+            held[3] += e.kind == "tool_start"
+            held[4] += e.kind == "tool_error"
+            if e.kind == "text" and held[5] < 0:
+                held[5] = int(e.ms) - held[1]
+
+
+def _runs(session: str, out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame([(session, *r) for r in out], columns=[c.split()[0] for c in RUN.split(", ")])
+    return frame.assign(first_text_ms=frame["first_text_ms"].astype("Int64"))
+
+
+def runs(events: DataFrame) -> DataFrame:
+    """Stream of (session, seq, kind, ms) -> finished runs; six numbers of state per session."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else [0, -1, 0, 0, 0, -1]
+        out = [r for rows in frames for r in run_rows(held, rows)]
+        state.update((held,))
+        yield _runs(key[0], out)
+
+    return events.groupBy("session").applyInPandasWithState(step, RUN, "held array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def runs_batch(events: DataFrame) -> DataFrame:
+    return events.groupBy("session").applyInPandas(lambda rows: _runs(rows["session"].iloc[0], list(run_rows([0, -1, 0, 0, 0, -1], rows))), RUN)
+
+
+TAIL = "session string, tail string, total_lines long, total_bytes long"
+
+
+def tails(chunks: DataFrame, most_bytes: int = 50 * 1024) -> DataFrame:
+    """Stream of (session, seq, chunk) -> the last bytes of each output so far, with totals; update mode.
+
+    State holds no more than the tail, cut at a character.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail, lines, size = state.get if state.exists else ("", 0, 0)
+        for rows in frames:
+            text = "".join(rows.sort_values("seq")["chunk"])
+            raw = (tail + text).encode()[-most_bytes:] if most_bytes else b""
+            tail, lines, size = raw.decode("utf-8", errors="ignore"), lines + text.count("\n"), size + len(text.encode())
+        state.update((tail, lines, size))
+        yield pd.DataFrame([(key[0], tail, lines, size)], columns=["session", "tail", "total_lines", "total_bytes"])
+
+    return chunks.groupBy("session").applyInPandasWithState(step, TAIL, "tail string, total_lines long, total_bytes long", "update", GroupStateTimeout.NoTimeout)
+
+
 def compact(kind: Column, value: Column) -> Column:
     """Struct of a delta without the growing snapshot: value only where the kind carries one."""
     return F.struct(kind.alias("kind"), F.when(kind.isin(*_DELTA, *_END), value).alias("value"))

@@ -138,10 +138,17 @@ def test_json():
     assert replaced.json_object('text ```json\n{"a": 1}\n```') == {"a": 1}
     assert replaced.json_object("{broken") is None
     assert replaced.open_json('{"a": [')[0] and not replaced.open_json('{"a": []}')[0]
-    assert [replaced.coerced(v, k) for v, k in ((None, "number"), ("4", "integer"), ("x", "number"), (None, "string"), ("TRUE", "boolean"), (None, "boolean"))] == [0, 4, "x", "", True, False]
+    assert [replaced.coerced(v, k) for v, k in ((None, "number"), ("4", "integer"), ("x", "number"), (None, "string"), ("true", "boolean"), ("TRUE", "boolean"), (None, "boolean"), (True, "string"), ("1e999", "number"))] == [0, 4, "x", "", True, "TRUE", False, "true", "1e999"]
     assert replaced.short_hash("abc") != replaced.short_hash("abd")
 
 
+def test_conformed():
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}, "l": {"type": "array", "items": {"type": "number"}}, "u": {"anyOf": [{"type": "boolean"}, {"type": "integer"}]}}, "additionalProperties": {"type": "string"}}
+    assert replaced.conformed({"n": "3", "l": ["1", 2.5, "x"], "u": "7", "more": 4}, schema) == {"n": 3, "l": [1, 2.5, "x"], "u": 7, "more": "4"}
+    assert replaced.conformed("5", {"type": ["string", "integer"]}) == "5"
+    assert replaced.conformed(None, {"type": "string"}) == ""
+
+
 def test_cron():
     assert clock.next_cron("0 0 13 * 5", datetime(2024, 1, 1)) == datetime(2024, 9, 13)
     assert clock.next_cron("*/15 * * * *", datetime(2024, 1, 1, 0, 7)) == datetime(2024, 1, 1, 0, 15)

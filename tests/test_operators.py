@@ -207,6 +207,35 @@ def test_rebuild_batch_and_stream(spark, tmp_path):  # noqa: ANN001
         q.stop()
 
 
+def streamed(spark, tmp_path, rows, schema, make, mode):  # noqa: ANN001, ANN201
+    half = len(rows) // 2
+    for i, part in enumerate((rows[:half], rows[half:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"d={i}"))
+    source = spark.readStream.schema(schema + ", d int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("d")
+    name = f"t{abs(hash(str(tmp_path))) % 10**9}"
+    q = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).outputMode(mode).start()
+    try:
+        q.processAllAvailable()
+        return spark.table(name).collect()
+    finally:
+        q.stop()
+
+
+def test_runs_batch_and_stream(spark, tmp_path):  # noqa: ANN001
+    rows = [("s", 0, "text", 1), ("s", 1, "run_start", 10), ("s", 2, "turn_start", 11), ("s", 3, "tool_start", 12), ("s", 4, "text", 15), ("s", 5, "text", 16), ("s", 6, "run_end", 30), ("s", 7, "run_start", 40), ("s", 8, "tool_error", 41), ("s", 9, "run_start", 50), ("s", 10, "run_error", 55)]
+    schema = "session string, seq long, kind string, ms long"
+    want = [("s", 1, 1, 1, 0, 5, 20, "done"), ("s", 2, 0, 0, 1, None, 10, "lost"), ("s", 3, 0, 0, 0, None, 5, "error")]
+    assert got(live.runs_batch(spark.createDataFrame(rows, schema).repartition(3))) == want
+    assert sorted(tuple(r) for r in streamed(spark, tmp_path, rows, schema, live.runs, "append")) == want
+
+
+def test_tails(spark, tmp_path):  # noqa: ANN001
+    rows = [("s", i, f"line {i} é\n") for i in range(10)]
+    out = streamed(spark, tmp_path, rows, "session string, seq long, chunk string", lambda d: live.tails(d, 12), "update")
+    last = max(out, key=lambda r: r.total_bytes)
+    assert (last.total_lines, last.total_bytes) == (10, 100) and last.tail.endswith("line 9 é\n") and len(last.tail.encode()) <= 12
+
+
 def test_replay_and_outbox(spark):  # noqa: ANN001
     r = spark.createDataFrame([(5, True), (99, True), (0, True), (5, False)], "a long, same boolean")
     out = r.select(live.replay(F.col("a"), F.lit(3), F.lit(9), F.col("same")).alias("x")).select("x.*").collect()
