@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordhash as W
+
 
 #: fixed values: phrases whose places are counted, with their labels
 PHRASES = {

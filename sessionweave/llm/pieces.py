@@ -111,16 +111,11 @@ class Coder:
         # stretches: a marker of the text; a line break; spaces and what follows them
         self.cut = re.compile(f"{MARK}|[^{MARK}]+" if inner else f"{MARK}|\n| *[^ \n{MARK}]+| +").findall
         self.remembered = remembered
-        coder = self
-
-        class Memory(dict):
-            def __missing__(self, stretch: str) -> bytes:
-                if len(self) >= coder.remembered:
-                    self.clear()
-                self[stretch] = out = coder.search(stretch)
-                return out
-
-        self.memory = Memory()
+        self.memory: dict[str, bytes] = {}
+        trie = vocabulary.trie
+        spare = np.full(258, -1)
+        self.base, self.check, self.value = (np.concatenate([x, spare]).astype(np.int64) for x in (trie.base, trie.check, trie.value))
+        self.score = np.array(vocabulary.scores + [0.0])
 
     def search(self, stretch: str) -> bytes:
         """Ids of the best path as int32. Among equal sums the longer last piece wins."""
@@ -159,15 +154,92 @@ class Coder:
             at = i
         return np.array(ids[::-1], np.int32).tobytes()
 
+    def search_many(self, stretches: list[str], cells: int = 1 << 20, longest: int = 64) -> list[bytes]:
+        """search() of many stretches at once: the trie is walked for all of one width together."""
+        raw = [s.replace(" ", MARK).encode() for s in stretches]
+        out: list[bytes] = [b""] * len(raw)
+        order = sorted((i for i in range(len(raw)) if len(raw[i]) <= longest and stretches[i] != MARK), key=lambda i: len(raw[i]))
+        for i in range(len(raw)):
+            if len(raw[i]) > longest or stretches[i] == MARK:
+                out[i] = self.search(stretches[i])
+        at = 0
+        while at < len(order):
+            width = len(raw[order[min(at + cells // 16, len(order) - 1)]])
+            chunk = order[at : at + max(1, cells // max(width, 16))]
+            at += len(chunk)
+            for i, ids in zip(chunk, self._searched([raw[i] for i in chunk]), strict=True):
+                out[i] = self.search(stretches[i]) if ids is None else ids
+        return out
+
+    def _searched(self, raw: list[bytes]) -> list[bytes | None]:
+        """Best paths of texts of similar length; None for one that needs byte pieces."""
+        size = np.array([len(r) for r in raw])
+        n, width = len(raw), int(size.max())
+        text = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(n, width).astype(np.int64)
+        best = np.full((n, width + 1), -np.inf)
+        start, piece = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        best[:, 0] = 0.0
+        for i in range(width):
+            rows = np.flatnonzero((size > i) & (best[:, i] > -np.inf))
+            first = text[rows, i]
+            char = i + 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+            bare = np.ones(len(rows), bool)
+            k, s = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for j in range(i, width):
+                inside = size[rows[k]] > j
+                k, s = k[inside], s[inside]
+                t = self.base[s] + text[rows[k], j] + 1
+                there = self.check[t] == s
+                k, s = k[there], t[there]
+                if not len(k):
+                    break
+                p = self.value[s]
+                ends = p >= 0
+                at, p = k[ends], p[ends]
+                bare[at[char[at] == j + 1]] = False
+                row = rows[at]
+                total = best[row, i] + self.score[p]
+                better = total > best[row, j + 1]
+                row = row[better]
+                best[row, j + 1], start[row, j + 1], piece[row, j + 1] = total[better], i, p[better]
+            row, end = rows[bare], char[bare]
+            total = best[row, i] + self.least
+            better = total > best[row, end]
+            row, end = row[better], end[better]
+            best[row, end], start[row, end], piece[row, end] = total[better], i, -1
+        steps, here = [], size.copy()
+        while (live := np.flatnonzero(here > 0)).size:
+            steps.append((live, piece[live, here[live]]))
+            here[live] = start[live, here[live]]
+        rows = np.concatenate([r for r, _ in steps])
+        ids = np.concatenate([p for _, p in steps]).astype(np.int32)
+        order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(r) for r, _ in steps]), rows))
+        rows, ids = rows[order], ids[order]
+        whole = np.ones(n, bool)
+        whole[rows[ids < 0]] = False
+        edges = np.searchsorted(rows, np.arange(n + 1)) * 4
+        flat = ids.tobytes()
+        return [flat[edges[r] : edges[r + 1]] if whole[r] else None for r in range(n)]
+
     def _fallback(self, raw: bytes) -> list[int]:
         ids = [self.v.byte_ids[b] for b in raw]
         if min(ids) < 0:
             raise ValueError("the vocabulary lacks byte pieces")
         return ids
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; an empty one has none."""
+        cut = [self.cut(" " + t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.memory)
+        if len(self.memory) + len(new) > self.remembered:
+            self.memory.clear()
+            new = set().union(*cut)
+        new = sorted(new)
+        self.memory.update(zip(new, self.search_many(new), strict=True))
+        return [np.frombuffer(b"".join(map(self.memory.__getitem__, c)), np.int32) for c in cut]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text; an empty one has none."""
-        return np.frombuffer(b"".join(map(self.memory.__getitem__, self.cut(" " + text))), np.int32) if text else np.zeros(0, np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.v.raw.__getitem__, ids.tolist()))
@@ -187,10 +259,10 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
         is_byte = np.zeros(len(coder.v.pieces), bool)
         is_byte[[i for i in coder.v.byte_ids if i >= 0]] = True
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                ids = [coder.encode(t or "") for t in texts]
+                ids = coder.encode_many([t or "" for t in texts])
                 sizes = np.array([len(x) for x in ids], np.int64)
                 null = np.array([t is None for t in texts], bool)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
