@@ -135,12 +135,12 @@ def failed(counts: np.ndarray, min_words: int, repeat_percent: int) -> np.ndarra
     return (counts[:, 0] < min_words) | (100 * counts[:, 4] > repeat_percent * counts[:, 0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, clean_loss: float = 0.01, min_words: int = 50, repeat_percent: int = 50) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, clean_loss: float = 0.01, clean_weight: float = 10.0, min_words: int = 50, repeat_percent: int = 50) -> Model:
     """Forest and threshold from at most `most_rows` labelled rows (those least by a hash of the id)
     that pass the base rules.
 
-    The threshold rejects as many of the labelled bad rows as it can while losing at most
-    `clean_loss` of the good ones. Without both kinds of label nothing is rejected.
+    The threshold loses at most `clean_loss` of the labelled good rows; a share of them lost weighs
+    `clean_weight` times as much as the same share of the bad ones kept. Without both kinds of label nothing is rejected.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect()
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, clean_loss:
     lost = 1 - np.searchsorted(good, cuts, side="right") / len(good)
     caught = 1 - np.searchsorted(bad, cuts, side="right") / len(bad)
     fine = np.flatnonzero(lost <= clean_loss)
-    best = fine[np.argmax((caught - lost)[fine])]
+    best = fine[np.argmax((caught - clean_weight * lost)[fine])]
     return Model(forest, float(cuts[best]))
 
 
