@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionweave.llm import decontaminate, neardup, pieces, quality, secrets
-from sessionweave.llm.shared import table, written
+from sessionweave.llm.shared import dropped, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents; a stage's table goes when its successor's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

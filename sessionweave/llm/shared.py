@@ -27,15 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _paths:
+        _paths.remove(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that written() made; only for one that no lazy plan still reads."""
+    _deleted(df.sparkSession, df._written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process wrote; for when the results built on them are stored."""
+    for path in list(_paths):
+        _deleted(spark, path)
+
+
 def released(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished queries: they go once the driver has collected their plans.
 

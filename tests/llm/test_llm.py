@@ -357,5 +357,20 @@ def test_pipeline(spark, docs, texts, tmp_path):  # noqa: ANN001
     assert len({i for i, _ in texts}) > out.select("doc_id").distinct().count()
 
 
+def test_tables_in_the_shared_folder(spark):  # noqa: ANN001
+    from pathlib import Path
+
+    from sessionweave.llm import shared
+
+    a = shared.written(spark.range(3).toDF("x"), "a")
+    place = Path(a._written_at.removeprefix("file://"))
+    assert a.count() == 3 and str(place).startswith(shared.shared_dir(spark).removeprefix("file://"))
+    shared.dropped(a)
+    assert not place.exists()
+    b = shared.written(spark.range(3).toDF("x"), "b")
+    shared.clean(spark)
+    assert not Path(b._written_at.removeprefix("file://")).exists()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
