@@ -16,7 +16,7 @@ from sessionweave.functions import clock, numbers, text
 from sessionweave.functions.content import estimate_tokens, read_mode, total_tokens, utf16
 from sessionweave.functions.fuzzy import fuzzy_filter, parse_query, search_score
 from sessionweave.functions.replaced import replacement, truncated
-from sessionweave.operators import folds, matching, merging, positions, predicates, ranking, reports, sessions, trees
+from sessionweave.operators import agents, folds, matching, merging, positions, predicates, ranking, reports, sessions, trees
 from sessionweave.sources.session_log import from_conversations
 from sessionweave.sources.sinks import packed
 from sessionweave.streaming import live
@@ -696,3 +696,114 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 
     c = _t(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), "role", blocks(F.col("text")).alias("blocks"))
     return sessions.transcripts(c)
+
+
+# branches, schedules and queues
+
+
+@query(f"SELECT c.id, arg_min(p_brand, dist) AS v FROM {_CLOSED} c JOIN part ON p_partkey = c.anc WHERE p_partkey % 3 = 1 GROUP BY 1")
+def along_branch(spark: SparkSession, d: str) -> DataFrame:
+    held = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).alias("v"))
+    return agents.along_branch(_tree(spark, d)[1], held, "id", "v")
+
+
+@query(f"""WITH m AS (SELECT p_partkey AS a, p_partkey // 2 + 1 AS b FROM part), k AS (SELECT a, b, min(x.dist) AS shared FROM m JOIN {_CLOSED} x ON x.id = m.a JOIN {_CLOSED} y ON y.id = m.b AND y.anc = x.anc GROUP BY 1, 2)
+SELECT m.a, m.b, x.anc AS id FROM m LEFT JOIN k ON k.a = m.a AND k.b = m.b JOIN {_CLOSED} x ON x.id = m.a WHERE shared IS NULL OR x.dist < shared""")
+def left_behind(spark: SparkSession, d: str) -> DataFrame:
+    moves = _t(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.floor(F.col("p_partkey") / 2) + 1).alias("b"))
+    return agents.left_behind(_tree(spark, d)[1], moves, "a", "b")
+
+
+@query(f"WITH t AS {_TREE}, k AS (SELECT parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY 1) SELECT t.id, o.n IS NOT NULL AND (t.parent IS NULL OR coalesce(s.n, 0) > 1) AS foldable FROM t LEFT JOIN k o ON o.parent = t.id LEFT JOIN k s ON s.parent = t.parent")
+def foldable_entries(spark: SparkSession, d: str) -> DataFrame:
+    return agents.foldable(_tree(spark, d)[0], "id", "parent").select("id", "foldable")
+
+
+@query(f"WITH t AS {_TREE}, k AS (SELECT parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY 1), f AS (SELECT t.id FROM t LEFT JOIN k ON k.parent = t.parent WHERE t.parent IS NULL OR n > 1) SELECT c.id, arg_min(anc, dist) AS start FROM {_CLOSED} c JOIN f ON f.id = c.anc GROUP BY 1")
+def branch_segments(spark: SparkSession, d: str) -> DataFrame:
+    nodes, closed = _tree(spark, d)
+    return agents.segment_starts(nodes, closed, "id", "parent")
+
+
+@query(f"SELECT anc AS session, count(DISTINCT l_suppkey) AS jobs, min(l_quantity) AS next FROM {_CLOSED} c JOIN lineitem ON l_partkey = c.id GROUP BY 1")
+def session_heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    jobs = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    return agents.heartbeats(jobs, _tree(spark, d)[1], "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, event_id) AS place FROM events""")
+def two_lane_queue(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).withColumn("lane", F.when(F.col("event_type") == "error", "urgent").otherwise("normal"))
+    return agents.two_lanes(e, "user_id", "lane", "event_id").select("event_id", "place")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'interrupted' WHEN o_orderstatus = 'O' THEN 'claimed' ELSE 'done' END AS status FROM orders""")
+def interrupted_claims(spark: SparkSession, d: str) -> DataFrame:
+    claims = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("job"), F.when(F.col("o_orderstatus") == "O", "claimed").otherwise("done").alias("status"))
+    running = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("job"))
+    return agents.interrupted(claims, running, "job").select("o_orderkey", "status")
+
+
+@query("""SELECT p_type AS code, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1""")
+def children_by_code(spark: SparkSession, d: str) -> DataFrame:
+    return agents.by_code(_t(spark, d, "part").select(F.col("p_type").alias("code"), F.col("p_partkey").alias("o")), "code", "o")
+
+
+@query(r"""SELECT conv_id, string_agg(role || ': ' || left(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 60), chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 GROUP BY 1""")
+def status_context(spark: SparkSession, d: str) -> DataFrame:
+    return agents.status_context(_t(spark, d, "conversations"), "conv_id", "turn", 3, 60)
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS o, event_type = 'error' AS c FROM events), l AS (SELECT user_id, max(o) FILTER (c) AS last, min(o) AS low, max(o) AS high FROM e GROUP BY 1)
+SELECT e.user_id, o AS event_id, CASE WHEN o >= high - 200 THEN 'keep' WHEN e.user_id % 2 = 0 AND o >= high - 600 THEN 'prefix' ELSE 'summarise' END AS segment FROM e JOIN l ON l.user_id = e.user_id WHERE o >= coalesce(last - 900, low) AND NOT c""")
+def compaction_segments(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).withColumn("kept", F.col("event_id") - 900)
+    cuts = e.groupBy("user_id").agg((F.max("event_id") - 200).alias("first_kept"), F.when(F.col("user_id") % 2 == 0, F.max("event_id") - 600).alias("turn_start"))
+    return agents.compaction_segments(e, cuts, "user_id", "event_id", F.col("event_type") == "error", "kept").select("user_id", "event_id", "segment")
+
+
+@query("""SELECT o_custkey AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS o, CASE o_orderstatus WHEN 'O' THEN 'delete' WHEN 'F' THEN 'create' ELSE 'update' END AS op, o_totalprice AS before FROM orders""")
+def rolled_back_edits(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("o_orderstatus")
+    edits = _t(spark, d, "orders").select(F.col("o_custkey").alias("p"), F.col("o_orderkey").alias("o"), F.when(o == "O", "create").when(o == "F", "delete").otherwise("update").alias("op"), o.alias("entity"), F.lit(0.0).alias("before"), F.col("o_totalprice").alias("after"))
+    return agents.rollback(edits, "p", "o").select("p", F.col("o").cast("long").alias("o"), "op", "before")
+
+
+@query("""SELECT c_mktsegment AS w FROM customer GROUP BY 1 HAVING bool_and(c_acctbal > -999)""")
+def evictable_workers(spark: SparkSession, d: str) -> DataFrame:
+    return predicates.evictable(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("w"), "c_acctbal"), "w", F.col("c_acctbal") > -999)
+
+
+@query("""SELECT p_partkey, substr(sha256(p_name), 1, 16) AS path_key, p_brand || ' ' || p_type AS search FROM part""")
+def path_keys(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "part")
+    return p.select("p_partkey", agents.path_key(F.col("p_name")).alias("path_key"), agents.search_text(F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(None)).alias("search"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE (o_orderkey % 5 = 0) OR o_orderkey % 5 = 1 AND o_orderkey % 2 = 0 OR o_orderkey % 5 > 1 AND o_orderkey % 3 = 0""")
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were never sent, have another size, or are newer."""
+    k = F.col("o_orderkey")
+    files = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.lit(1).alias("size"), F.lit(5).alias("mtime"))
+    sent = _t(spark, d, "orders").where(k % 5 > 0).select(F.col("o_orderkey").cast("string").alias("path"), F.when((k % 5 == 1) & (k % 2 == 0), 2).otherwise(1).alias("size"), F.when((k % 5 > 1) & (k % 3 == 0), 4).otherwise(5).alias("mtime"))
+    return live.outbox(files, sent).select("o_orderkey")
+
+
+@query()
+def claimed_jobs(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).withColumn("store", (F.col("user_id") % 8).cast("string"))
+    jobs = e.groupBy("store").agg(F.min(F.unix_millis("ts")).alias("next_ms")).select("store", F.concat(F.lit("job"), "store").alias("job"), "next_ms", F.lit(3_600_000).cast("long").alias("every_ms"), F.lit(600_000).cast("long").alias("busy_ms"))
+    return folds.claimed(jobs, e.select("store", F.col("event_id").alias("tick"), F.unix_millis("ts").alias("at")))
+
+
+@query()
+def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as requests; views of even users hang a child's return on them."""
+    e = _events(spark, d).select(F.col("user_id").cast("string").alias("session"), (F.col("event_id") * 2).alias("line"), F.concat(F.lit("r"), "event_id").alias("request"), "event_type", "user_id")
+    none = F.lit(None).cast("string")
+    row = lambda kind, line, session, request, child: (F.lit("f").alias("file"), line.alias("line"), F.lit(kind).alias("type"), session.alias("session"), request.alias("request"), none.alias("compaction"), none.alias("status"), child.alias("child"), none.alias("spawned_by"))
+    own = e.where("event_type != 'error'")
+    started = own.select(*row("request_started", F.col("line"), F.col("session"), F.col("request"), none))
+    finished = own.select(*row("request_finished", F.col("line") + 1, none, F.col("request"), none))
+    back = e.where("event_type = 'error' AND user_id % 2 = 0").select(*row("child_returned", F.col("line"), F.col("session"), F.concat(F.lit("child-"), "request"), F.col("request")))
+    return folds.semantic_edges(started.unionByName(finished).unionByName(back))
