@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .shared import crc32_mod, partitions, released, written
+from .shared import crc32_mod, dropped, partitions, released, written
 
 U = np.uint64
 END, START = U(1), U(2)
@@ -100,10 +100,11 @@ def _frequent(given: DataFrame, share: int = 1024) -> tuple[np.ndarray, np.ndarr
             yield pa.record_batch([pa.array(np.append(W.signed(word[big]), 0)), pa.array(np.append(n[big], len(t.word)).astype(np.int64)), pa.array(np.append(np.zeros(big.sum(), bool), True))], ["word", "n", "total"])
 
     train = given.where("train").select("text")
-    found = train.mapInArrow(candidates, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
-    total = found.where("total").agg(F.sum("n").alias("tokens"))
-    # bounded by 4/3 * share rows
-    rows = found.where("not total").crossJoin(F.broadcast(total)).where(F.col("n") * 4 * share >= 3 * F.col("tokens")).select("word").collect()
+    found = written(train.mapInArrow(candidates, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n")), "frequent")
+    total = found.where("total").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most 4/3 * share rows
+    rows = found.where(~F.col("total") & (F.col("n") * 4 * share >= 3 * total)).select("word").collect()
+    dropped(found)
     often = np.sort(np.array([r.word for r in rows], np.int64).view(U))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
