@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, partitions, written
+
+
+def _apart(least: DataFrame) -> DataFrame:
+    """Dealt anew, so that the join on a node is planned by itself and a hub's links can be split."""
+    return least.repartition(partitions(least.sparkSession)).hint("merge")
 
 
 def _large(e: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node it sees."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the least of them."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _apart(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
