@@ -1,8 +1,8 @@
-"""License scans by a positional index over each file's rarest licence words.
+"""License scans by a positional index over the rarest words of every licence notice.
 
-Templates are word sequences of well-known licence notices. Of the template words that a file
-holds, the few with the highest IDF over all documents are looked up; postings of a template that
-agree on the relative position of template and file vote for a place, and places with the
+Templates are word sequences of well-known licence notices. Of each template, words are looked up
+from the highest IDF over all documents down, until those left out weigh too little to make a hit;
+so every place that could be a hit is voted for, whatever else the file holds. Places with the
 template's mandatory phrases are hits.
 """
 
@@ -72,13 +72,19 @@ def _occurs(file: list[bytes], phrase: tuple[bytes, ...], first: int) -> bool:
 
 
 class Scanner:
-    def __init__(self, known: tuple[Template, ...], idf: dict[bytes, float], rarest: int, share: float):
-        self.known, self.idf, self.rarest, self.share = known, idf, rarest, share
+    def __init__(self, known: tuple[Template, ...], idf: dict[bytes, float], share: float):
+        self.known, self.idf, self.share = known, idf, share
         self.phrases = [(tuple(p.encode().split()), label) for p, label in PHRASES.items()]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, template in enumerate(known):
-            for place, word in enumerate(template.words):
-                self.postings[word].append((t, place))
+            weight = [idf.get(w, 0.0) for w in template.words]
+            left = total = sum(weight)
+            # a place where none of the words taken stands has at most `left` of the weight
+            for place in sorted(range(len(weight)), key=lambda k: (-weight[k], template.words[k], k)):
+                if left < share * total * (1 - 1e-9):
+                    break
+                self.postings[template.words[place]].append((t, place))
+                left -= weight[place]
         self.vocabulary = frozenset(self.postings) | {p[0] for p, _ in self.phrases}
         # no hit or phrase without one of these byte strings, so most files need no word list
         self.probe = re.compile(b"|".join(sorted({re.escape(max((w for m in t.must for w in m), key=len)) for t in known} | {re.escape(max(p, key=len)) for p, _ in self.phrases})), re.I)
@@ -98,10 +104,9 @@ class Scanner:
             places += hits
             base |= {label} if hits else set()
         found, score = set(base), 1.0 if base else 0.0
-        rare = sorted((w for w in where if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w))[: self.rarest]
-        votes = Counter((t, i - place) for word in rare for t, place in self.postings[word] for i in where[word])
-        # postings agree on where the template begins; the whole template is then compared there
-        for (t, begin), _ in sorted(votes.items()):
+        places_of = {(t, i - place) for word in where if word in self.postings for t, place in self.postings[word] for i in where[word]}
+        # a posting says where its template begins; the whole template is then compared there
+        for t, begin in sorted(places_of):
             template = self.known[t]
             weight = [self.idf.get(w, 0.0) for w in template.words]
             same = sum(x for k, (w, x) in enumerate(zip(template.words, weight, strict=True)) if 0 <= begin + k < len(file) and file[begin + k] == w)
@@ -141,17 +146,17 @@ def frequencies(docs: DataFrame, known: tuple[Template, ...]) -> tuple[int, dict
     return held.pop(b"", 0), held
 
 
-def scanned(docs: DataFrame, given: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES, rarest: int = 8, share: float = 0.8) -> DataFrame:
+def scanned(docs: DataFrame, given: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES, share: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base, first_word, last_word and base_labels are of PHRASES; labels adds those of templates of
-    which at least `share` of the IDF weight stands at its place around a file's `rarest` rarest
-    words. score is the best such share, 1 for a phrase. Null and empty texts have no words.
+    which at least `share` of the IDF weight stands at its place, anywhere in the file. score is
+    the best such share, 1 for a phrase. Null and empty texts have no words.
     """
     known = templates(given)
     n, held = frequencies(docs, known)
     idf = {w: math.log((n + 1) / (held.get(w, 0) + 1)) + 1e-9 for t in known for w in t.words}
-    scanner = Scanner(known, idf, rarest, share)
+    scanner = Scanner(known, idf, share)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

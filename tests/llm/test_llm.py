@@ -210,6 +210,20 @@ def test_licenses(docs, texts, empty, spark):  # noqa: ANN001
     assert licenses.scanned(empty).count() == 0
 
 
+def test_licenses_of_several_notices(spark):  # noqa: ANN001
+    text = {label: notice for label, notice, _ in licenses.TEMPLATES}
+    several = [("bsd", "gpl-3"), ("bsd", "cc-by-sa"), ("bsd", "gpl-3", "mit", "apache-2"), tuple(sorted(text))]
+    rng = random.Random(11)
+    rows = [(i, f" {prose(rng, 30)} ".join(text[x] for x in labels)) for i, labels in enumerate(several)]
+    # template words strewn over a long text do not hide a notice in it
+    strewn = sorted({w for _, notice, _ in licenses.TEMPLATES for w in notice.split()})
+    rows.append((9, " ".join(f"{w} {prose(rng, 3)}" for w in strewn) + " " + text["cc0"]))
+    rows += [(100 + i, prose(rng, 30)) for i in range(30)]
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(labels) <= got[i] for i, labels in enumerate(several))
+    assert "cc0" in got[9] and not any(got[100 + i] for i in range(30))
+
+
 def test_language_id(spark, empty, docs):  # noqa: ANN001
     rng = random.Random(3)
     sounds = {"en": "the and th sh ing of ough".split(), "de": "der und sch ung ich ein ß".split(), "fr": "le des eau oi ç é que".split(), "es": "el los ción ñ rr ue as".split()}
