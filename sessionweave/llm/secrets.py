@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Strong spans (assignments, access identifiers, long hex runs) are reported as they stand. Weak
-candidates (random-looking words) are reported only where complementary parts, an endpoint and an
-identifier or key name, lie within the same scope: an interval of code points around the candidate.
-Parts join on that interval inside their own row, so nothing is shuffled and a hot source costs no
+candidates (random-looking words) are reported only where a complementary part lies within the same
+scope, an interval of code points around the candidate: an access identifier, the name of a key, or
+a login name together with an endpoint. Parts join on that interval inside their own row, so nothing is shuffled and a hot source costs no
 more than its rows.
 """
 
@@ -17,6 +17,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: parts that link: words that name a credential, addresses, and random-looking words
 NAME = r"\b(?:client_id|client_secret|access_key|account|username|login|credential|bearer|passphrase|private_key)\b"
+#: the same words in either case and inside longer names: those of keys, and those of logins
+KEY = r"(?i:client[_-]?secret|access[_-]?key|credential|bearer|passphrase|private[_-]?key)"
+LOGIN = r"(?i:client[_-]?id|username|login|account(?!able|abil|ant|ed|ing))"
 ENDPOINT = r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])"
 KINDS = ("assign", "access", "hex")
@@ -63,12 +66,27 @@ def _base(text: Column) -> list[Column]:
 
 
 def _linked(text: Column, strong: Column, access: Column, scope: int) -> Column:
-    """Weak candidates with an endpoint and an identifier in scope that no strong span overlaps."""
-    gate = text.contains("://") & (text.rlike(NAME) | (F.size(access) > 0))
-    weak, names, ends = (_places(text, p, 3, "weak", gate) for p in (OPAQUE, NAME, ENDPOINT))
+    """Weak candidates with a complementary part in scope that no strong span overlaps.
+
+    A part inside a candidate is none of its parts, and a candidate that holds a name is one itself;
+    words of NAME that stand alone, beside an endpoint, count wherever they are.
+    """
     near = lambda w: lambda p: (F.abs(p["start"] - w["start"]) <= scope)
     apart = lambda w: lambda p: (p["start"] >= w["stop"]) | (p["stop"] <= w["start"])
-    return F.filter(weak, lambda w: F.exists(ends, near(w)) & F.exists(F.concat(names, access), near(w)) & F.forall(F.concat(strong, ends), apart(w)))
+
+    def linked(p: Column, w: Column) -> Column:
+        alone = F.exists(p["ends"], near(w)) & F.exists(F.concat(p["names"], access), near(w))
+        parts = F.exists(F.concat(access, p["keys"]), near(w)) | (F.exists(p["ends"], near(w)) & F.exists(p["logins"], near(w)))
+        return F.forall(F.concat(strong, p["ends"]), apart(w)) & (alone | (parts & F.forall(F.concat(p["keys"], p["logins"]), apart(w))))
+
+    # bound by transform, so that a text is searched once and not once per candidate
+    def among(weak: Column) -> Column:
+        kinds = {"names": NAME, "keys": KEY, "logins": LOGIN, "ends": ENDPOINT}
+        parts = F.struct(*(_places(text, pattern, 3, "weak", F.size(weak) > 0).alias(k) for k, pattern in kinds.items()))
+        return F.transform(F.array(parts), lambda p: F.filter(weak, lambda w: linked(p, w)))[0]
+
+    gate = (F.size(access) > 0) | text.rlike(f"{KEY}|{LOGIN}")
+    return F.transform(F.array(_places(text, OPAQUE, 3, "weak", gate)), among)[0]
 
 
 def _found(text: Column, scope: int) -> Column:
