@@ -2,7 +2,8 @@
 
 Every document gets rule statistics from its whole text. Trees of random splits are grown on a
 bounded sample of labelled rows, good and bad as they come; a document whose mean path is short is
-anomalous. The threshold on that score is chosen on labelled rows that grew no tree.
+anomalous. The threshold on that score is chosen on all labelled rows that grew no tree, from counts
+of their scores by label.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .shared import crc32_mod
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbols", "punctuation", "repeats", "upper")
 SYMBOLS = b"#*$%&|<>"
+#: cells of the scores' histogram, a power of two so that their bounds are exact
+BINS = 1 << 16
 BLANK = b" \t\n\r\x0b\x0c"
 
 
@@ -136,41 +139,60 @@ def failed(counts: np.ndarray, min_words: int, repeat_percent: int) -> np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, clean_loss: float = 0.01, clean_weight: float = 10.0, min_words: int = 50, repeat_percent: int = 50) -> Model:
-    """Forest and threshold from at most `most_rows` labelled rows (those least by a hash of the id)
-    that pass the base rules.
+    """Forest from at most `most_rows` labelled ids (those least by a hash), and threshold from all others.
 
-    The threshold loses at most `clean_loss` of the labelled good rows; a share of them lost weighs
+    One half of the sampled ids grows the forest, of their rows that pass the base rules at most
+    4 * `most_rows`, least by a hash of the text. All other labelled rows that pass them choose the
+    threshold: it loses at most `clean_loss` of the good ones; a share of them lost weighs
     `clean_weight` times as much as the same share of the bad ones kept. Without both kinds of label nothing is rejected.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect()
+    known = known.select(F.col("doc_id").cast("long").alias("label_doc_id"), F.col("quality").cast("int").alias("label_quality"), F.xxhash64("doc_id").alias("place"), crc32_mod("doc_id", 2).alias("half"))
+    rows = known.orderBy("place", "label_doc_id").limit(most_rows).collect()
     if not rows:
         return Model(None, np.inf)
-    sample = docs.sparkSession.createDataFrame([(r.doc_id, int(r.quality)) for r in rows], "label_doc_id long, label_quality int")
+    sample = docs.sparkSession.createDataFrame([(r.label_doc_id, r.label_quality) for r in rows if r.half == 0], "label_doc_id long, label_quality int")
     # at most most_rows rows of two numbers: the broadcast is bounded by that parameter
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_doc_id")).select("text", "label_quality", crc32_mod("doc_id", 2).alias("half"))
+    text = F.col("text").cast("string")
+    picked = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_doc_id")).select("text", "label_quality", F.xxhash64("text").alias("print"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, x = statistics(b.column(0))
-            out = pa.record_batch([b.column(1), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "half", "x"])
+            out = pa.record_batch([b.column(1), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "print", "x"])
             yield out.filter(pa.array(~failed(counts, min_words, repeat_percent)))
 
-    got = picked.mapInArrow(measured, "quality int, half long, x array<double>").limit(4 * most_rows).collect()
-    got.sort(key=lambda r: (r.half, r.quality, r.x))
-    grow = np.array([r.x for r in got if r.half == 0]).reshape(-1, len(FEATURES))
-    good = np.array([r.x for r in got if r.quality == 1 and r.half == 1]).reshape(-1, len(FEATURES))
-    bad = np.array([r.x for r in got if r.quality == 0 and r.half == 1]).reshape(-1, len(FEATURES))
-    if len(grow) < 2 or not len(good) or not len(bad):
+    got = picked.mapInArrow(measured, "quality int, print long, x array<double>").orderBy("print", "quality").limit(4 * most_rows).collect()
+    got.sort(key=lambda r: (r.quality, r.x))
+    grow = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
+    if len(grow) < 2:
         return Model(None, np.inf)
     forest = Forest.grown(grow)
-    good, bad = np.sort(forest.scores(good)), np.sort(forest.scores(bad))
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost = 1 - np.searchsorted(good, cuts, side="right") / len(good)
-    caught = 1 - np.searchsorted(bad, cuts, side="right") / len(bad)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, x = statistics(b.column(1))
+            fine = ~failed(counts, min_words, repeat_percent)
+            bins = np.minimum((forest.scores(x[fine]) * BINS).astype(np.int64), BINS - 1)
+            yield pa.record_batch([b.column(0).filter(pa.array(fine)), pa.array(bins)], ["doc_id", "bin"])
+
+    last = rows[-1]
+    grew = (F.col("half") == 0) & (F.struct("place", "label_doc_id") <= F.struct(F.lit(last.place).alias("place"), F.lit(last.label_doc_id).alias("label_doc_id")))
+    others = known.where(~grew).select("label_doc_id", "label_quality")
+    # texts stay where they are: ids and bins alone meet the labels
+    scored = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(binned, "doc_id long, bin long")
+    met = scored.join(others.hint("merge"), F.col("doc_id") == F.col("label_doc_id")).groupBy("label_quality", "bin").agg(F.count("*").alias("n"))
+    times = np.zeros((2, BINS), np.int64)
+    for r in met.collect():
+        times[r.label_quality, r.bin] = r.n
+    if not times.sum(1).all():
+        return Model(None, np.inf)
+    # a cut stands at the upper bound of a cell, so these shares are exact
+    cuts = np.flatnonzero(times.sum(0))
+    caught, lost = 1 - times.cumsum(1)[:, cuts] / times.sum(1)[:, None]
     fine = np.flatnonzero(lost <= clean_loss)
-    best = fine[np.argmax((caught - clean_weight * lost)[fine])]
-    return Model(forest, float(cuts[best]))
+    best = cuts[fine[np.argmax((caught - clean_weight * lost)[fine])]]
+    return Model(forest, float(np.nextafter((best + 1) / BINS, 0)) if best + 1 < BINS else 1.0)
 
 
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"

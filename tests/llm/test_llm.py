@@ -289,6 +289,22 @@ def test_isolation_forest(spark):  # noqa: ANN001
     assert sum(r.kept for r in out if not r.doc_id % 8) / 50 < 0.2
 
 
+def test_threshold_from_all_labels(spark):  # noqa: ANN001
+    rng = random.Random(8)
+    n, most = 1200, 100
+    first = {r[0] for r in spark.sql(f"SELECT id FROM range({n}) ORDER BY xxhash64(id), id LIMIT {most}").collect()}
+    bad = {i for i in range(n) if i % 6 == 0}
+    odd = {i for i in range(n) if i % 10 == 1 and i not in first}
+    marked = lambda share: " ".join(rng.choice(VOCABULARY) + ("###" if rng.random() < share else "") for _ in range(80))
+    rows = [(i, marked(rng.uniform(0.3, 0.9) if i in bad else 0.25 if i in odd else 0.02)) for i in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    model = quality.fit(d, labels, most_rows=most)
+    grew = {i for i in first if zlib.crc32(str(i).encode()) % 2 == 0}
+    good = [r.kept for r in quality.judged(d, model).collect() if r.doc_id not in bad and r.doc_id not in grew]
+    assert model.forest is not None and good.count(False) <= 0.01 * len(good)
+
+
 def test_katz(docs, texts, empty):  # noqa: ANN001
     rows = [(i, [*(x.lower() for x in words(t)), 0]) for i, t in texts]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
