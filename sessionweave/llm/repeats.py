@@ -42,7 +42,7 @@ def _anchors(given: DataFrame, k: int, window: int) -> DataFrame:
                 at = pa.array(doc + w.first)
                 yield pa.record_batch([pa.array(W.signed(g)), b.column(0).take(at), b.column(1).take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "row", "part", "lo", "hi"])
 
-    return given.mapInArrow(find, "h long, row long, part int, lo int, hi int")
+    return given.mapInArrow(find, "h long, row long, part long, lo int, hi int")
 
 
 def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataFrame:
@@ -54,7 +54,7 @@ def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataF
             kinds, names = (pa.int32(), pa.int64(), pa.binary(), pa.int64()), ["bucket", "key", "stretch", "n"]
         else:
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
-            kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["key", "print", "row", "part", "at"]
+            kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), ["key", "print", "row", "part", "at"]
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +82,13 @@ def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataF
         yield told(seen if texts else places)
         W.release()
 
-    return held.mapInArrow(cut, "bucket int, key long, stretch binary, n long" if texts else "key long, print long, row long, part int, at int")
+    return held.mapInArrow(cut, "bucket int, key long, stretch binary, n long" if texts else "key long, print long, row long, part long, at int")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(row, part, text): the id, least long for null, and a hash that tells apart texts that share an id."""
+    """(row, part, text): the id, least long for null, and 64 bits of hash that tell apart texts that share an id."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("row"), F.hash(text).alias("part"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("row"), F.xxhash64(text).alias("part"), text.alias("text"))
 
 
 def covers(given: DataFrame, decide: Decide, window: int, k: int = K, hot: int = 5_000) -> DataFrame:
@@ -142,7 +142,7 @@ def covers(given: DataFrame, decide: Decide, window: int, k: int = K, hot: int =
                 out.append(np.stack([x[first, 0], np.append(end[np.flatnonzero(first)[1:] - 1], end[-1])], 1).ravel().tolist())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["row", "part", "spans"])
 
-    return runs.mapInArrow(merged, "row long, part int, spans array<long>")
+    return runs.mapInArrow(merged, "row long, part long, spans array<long>")
 
 
 def runs_of(owner: np.ndarray, first: np.ndarray, window: int, n: int) -> list[list[tuple[int, int]]]:

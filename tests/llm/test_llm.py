@@ -93,6 +93,15 @@ def test_suffix_array_dedup(docs, texts, empty):  # noqa: ANN001
     assert suffixes.repeated(empty).count() == 0
 
 
+def test_texts_without_id_of_one_short_hash(spark):  # noqa: ANN001
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(None, f"{p} a24554"), (None, f"{q} b217324"), (5, f"{p} end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r[0] for r in d.where("doc_id is null").selectExpr("hash(text)").collect()}) == 1
+    assert bag(substrings.removed(d).select("doc_id", "n_removed").collect()) == bag([(None, 60), (None, 0), (5, 60)])
+    assert bag(suffixes.repeated(d).select("doc_id", "spans").collect()) == bag([(None, "0:60"), (5, "0:60")])
+
+
 def test_near_duplicates(docs, texts, empty):  # noqa: ANN001
     sets = []
     for i, t in texts:
