@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
 
@@ -123,6 +124,13 @@ def _links(ids: np.ndarray, signature: np.ndarray, sets: list[np.ndarray], perce
     return out
 
 
+def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return written(
+        given.mapInArrow(lambda batches: (_described(b, shingle) for b in batches), "doc_id long, n_shingles long, p1 long, p2 long, keys array<long>"), "shingles"
+    )
+
+
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 75, miss: float = 1e-6, block: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -131,10 +139,11 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 75, miss: float =
     Rows that share an id are one document with the links of all of them. A null id cannot be a
     class: its row has a null component_id and is kept.
     """
+    return _classes(docs, _fingerprints(docs, shingle), shingle, percent, miss, block)
+
+
+def _classes(docs: DataFrame, described: DataFrame, shingle: int = 5, percent: int = 75, miss: float = 1e-6, block: int = 4096) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = written(
-        given.mapInArrow(lambda batches: (_described(b, shingle) for b in batches), "doc_id long, n_shingles long, p1 long, p2 long, keys array<long>"), "shingles"
-    )
     some = described.where("n_shingles > 0 and doc_id is not null")
     nodes = some.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("p1", "p2", F.col("least.doc_id").alias("node"), "least.keys")
     nodes = written(nodes, "nodes")
@@ -180,7 +189,42 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 75, miss: float =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document stays: one document of each class, and all that have none."""
-    out = classes(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+def _one_of_each(rows: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """Of rows with one id (or none) and equal shingles the one of least text; named holds the
+    fingerprints of rows that have an id, of which rows without one are copies."""
+    names = rows.columns
+    given = rows.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(names)))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = _described(b.select([0, 1]), shingle)
+            yield pa.record_batch([*b.columns, d["n_shingles"], d["p1"], d["p2"]], fields)
+
+    fields = [*given.columns, "_n", "_p1", "_p2"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields)
+    all_ = given.mapInArrow(printed, f"{kinds}, _n long, _p1 long, _p2 long")
+    some = all_.where("_n > 0").join(named, F.col("_id").isNull() & (F.col("_p1") == F.col("p1")) & (F.col("_p2") == F.col("p2")), "left_anti")
+    whole = F.struct(*(f"_keep{i}" for i in range(len(names)))).alias("row")
+    one = some.groupBy("_id", "_p1", "_p2").agg(F.min_by(whole, "_text").alias("row")).select("row")
+    out = all_.where("_n = 0").select(whole).unionByName(one)
+    return out.select(*(F.col(f"row._keep{i}").alias(c) for i, c in enumerate(names)))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of docs whose document stays: one document of each class, and all that have none.
+
+    Of rows that share an id, or have none, one of each set of shingles stays; a row without id goes
+    if a row with one has its set. Rows without shingles all stay.
+    """
+    described = _fingerprints(docs, shingle)
+    gone = _classes(docs, described, shingle).where("not kept").select("doc_id").distinct()
+    some = described.where("n_shingles > 0")
+    # ids with several rows, and null: only their rows are looked at one by one
+    many = written(some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "many")
+    if many.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(gone, "gone")
+    single = docs.join(gone.unionByName(many), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
+    several = docs.join(many.where("doc_id is not null"), "doc_id", "left_semi").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = some.where("doc_id is not null").select("p1", "p2").distinct()
+    return single.unionByName(_one_of_each(several.unionByName(docs.where("doc_id is null")), named, shingle))

@@ -126,6 +126,16 @@ def test_near_duplicates(docs, texts, empty):  # noqa: ANN001
     assert set(neardup.deduplicated(docs).columns) == set(docs.columns)
 
 
+def test_copies_without_id_or_of_one_id(spark):  # noqa: ANN001
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, c), (2, d), (3, c), (None, None), (None, None), (4, ""), (4, "")]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(kept.collect()) == bag([(None, a), (1, b), (2, c), (2, d), (None, None), (None, None), (4, ""), (4, "")])
+    plain = [(i, t) for i, t in enumerate((a, b, a))]
+    assert bag(neardup.deduplicated(spark.createDataFrame(plain, "doc_id long, text string")).collect()) == bag(plain[:2])
+
+
 def test_bayes_bound():
     need = [neardup.least_matches(n, 0.75, 1e-6) for n in (32, 64, 96, 128)]
     assert all(0 < m / n < 0.75 for m, n in zip(need, (32, 64, 96, 128), strict=True))
