@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .shared import crc32_mod, dropped, partitions, released, written
+from .shared import crc32_mod, dropped, partitions, written
 
 U = np.uint64
 END, START = U(1), U(2)
@@ -264,7 +264,6 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 12 <
         return pa.table([pa.array(cols[0], pa.int32()), bucket, *(pa.array(c, pa.binary()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int64()))], [c.split()[0] for c in ANSWER.split(", ")])
 
     answers = written(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "counts", "lz4")
-    released(spark)
     width = 2 * (TOP + 2) + 2
     sums = answers.where("batch = -1").agg(*(F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(width))).first()
     stats = np.array(list(sums), np.int64)
@@ -312,7 +311,6 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 12 <
     arrow = [KINDS[c.split()[1]] for c in SCORED.split(", ")]
     replies = answers.where("batch >= 0").drop("stats")
     parts = written(dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(score, SCORED), "scores", "lz4")
-    released(spark)
 
     def back_off(rows: pa.Table) -> pa.Table:
         kind = rows["kind"].to_numpy()

@@ -6,7 +6,6 @@ text, fitted by dual coordinate descent on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -26,7 +25,9 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 BUCKETS = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+#: rows whose features are held at once
+ROWS = 512
+LETTER = r"\p{L}"
 _FOLD = np.full(256, 32, np.uint64)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -119,18 +120,21 @@ class Model:
 
 
 def _sliced(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    for first, _, data, offsets in W.slices(column, 1 << 20):
-        yield first, features(data, offsets)
+    for first, n, data, offsets in W.slices(column, 1 << 20):
+        for i in range(0, n, ROWS):
+            part = offsets[i : i + ROWS + 1]
+            yield first + i, features(data[part[0] : part[-1]], part - part[0])
 
 
 def fit(docs: DataFrame, mod: int = 5, per_language: int = 1000) -> Model:
-    """Model from about `per_language` rows of each lang (3/2 of it at most), those least by a hash of the id.
+    """Model from about `per_language` rows of each lang, those least by a hash of the id, and from at most
+    twice as many as that for all langs together, where ids repeat.
 
     Rows whose crc32(doc_id as text) mod `mod` is 0, and rows of null lang or of text without a
     letter, teach nothing.
     """
     taught = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
-        F.col("lang").isNotNull() & (crc32_mod("doc_id", mod) != 0) & F.col("text").rlike(r"\p{L}")
+        F.col("lang").isNotNull() & (crc32_mod("doc_id", mod) != 0) & F.col("text").rlike(LETTER)
     )
     counts = {r.lang: r.n for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -144,7 +148,8 @@ def fit(docs: DataFrame, mod: int = 5, per_language: int = 1000) -> Model:
                 rows = pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())
                 yield pa.record_batch([b.column(0).slice(first, len(x)), b.column(2).slice(first, len(x)), rows], ["doc_id", "lang", "x"])
 
-    got = picked.mapInArrow(measured, "doc_id long, lang string, x binary").limit(2 * per_language * len(counts)).collect()
+    place = F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang"), F.col("x")
+    got = picked.mapInArrow(measured, "doc_id long, lang string, x binary").orderBy(*place).limit(2 * per_language * len(counts)).collect()
     got.sort(key=lambda r: (r.lang, r.doc_id, bytes(r.x)))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(float)
     lang = np.array([r.lang for r in got])
@@ -171,9 +176,10 @@ def predicted(docs: DataFrame, model: Model, mod: int = 5) -> DataFrame:
             name, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             for first, x in _sliced(b.column(2)):
                 name[first : first + len(x)], score[first : first + len(x)] = sent.value.predict(x)
-            silent = [not _LETTER.search(t.as_py() or "") for t in b.column(2)]
+            silent = ~np.array(b.column(3).to_pylist(), bool)
             name[silent], score[silent] = "und", 0.0
             yield pa.record_batch([b.column(0), b.column(1), pa.array(name, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.coalesce(crc32_mod("doc_id", mod) == 0, F.lit(False)), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    given = docs.select(F.col("doc_id").cast("long"), F.coalesce(crc32_mod("doc_id", mod) == 0, F.lit(False)), text, F.coalesce(text.rlike(LETTER), F.lit(False)))
     return given.mapInArrow(predict, SCHEMA)

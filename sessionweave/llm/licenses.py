@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-
 #: fixed values: phrases whose places are counted, with their labels
 PHRASES = {
     "under the mit license": "mit",

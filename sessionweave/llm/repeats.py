@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -32,6 +32,8 @@ K = 8
 SENT_BYTES, SENT_PLACES = 16 << 20, 200_000
 #: the most anchors that are sent to every executor
 HOT_ANCHORS = 10_000
+#: about what one place's stretch takes, and what the stretches of one bucket may
+PLACE_BYTES, BUCKET_BYTES = 512, 16 << 20
 
 
 def _anchors(given: DataFrame, k: int, window: int) -> DataFrame:
@@ -60,10 +62,16 @@ def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], int] = {}
         places: list[tuple[int, int, int, int, int]] = []
+        told_of: set[tuple[int, int]] = set()
         size = 0
         for b in batches:
             for row, part, text, anchors in zip(*(b.column(i) for i in range(4)), strict=True):
-                row, part, words = row.as_py(), part.as_py(), (text.as_py() or "").encode().split()
+                row, part = row.as_py(), part.as_py()
+                if not texts:
+                    if (row, part) in told_of:
+                        continue
+                    told_of.add((row, part))
+                words = (text.as_py() or "").encode().split()
                 for a in anchors.as_py():
                     spans = [(a["lo"], a["hi"])] if not a["hot"] else [(p, p) for p in range(a["lo"], a["hi"] + 1)]
                     for lo, hi in spans:
@@ -78,7 +86,7 @@ def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataF
                             size += len(stretch)
                 if size > SENT_BYTES or len(places) > SENT_PLACES:
                     yield told(seen if texts else places)
-                    seen, places, size = {}, [], 0
+                    seen, places, told_of, size = {}, [], set(), 0
         yield told(seen if texts else places)
         W.release()
 
@@ -86,22 +94,30 @@ def _stretches(held: DataFrame, window: int, buckets: int, texts: bool) -> DataF
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(row, part, text): the id, least long for null, and 64 bits of hash that tell apart texts that share an id."""
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("row"), F.xxhash64(text).alias("part"), text.alias("text"))
+    """(row, part, text): the id, 0 for null, and 63 bits of hash that tell apart texts that share an id;
+    the last bit of part says that there is no id."""
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    part = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(id_.isNull().cast("long"))
+    return docs.select(F.coalesce(id_, F.lit(0)).cast("long").alias("row"), part.alias("part"), text.alias("text"))
+
+
+def doc_id() -> Column:
+    """The id of a row of keyed()."""
+    return F.when(F.col("part").bitwiseAND(F.lit(1)) == 0, F.col("row")).alias("doc_id")
 
 
 def covers(given: DataFrame, decide: Decide, window: int, k: int = K, hot: int = 5_000) -> DataFrame:
-    """(row, part, spans) for each row of keyed() with a word in a repeated window.
+    """(row, part, spans), one for each different row of keyed() with a word in a repeated window.
 
-    Equal rows are places of their own, and get equal spans. spans are sorted disjoint [first word, end) pairs, flat. `hot` is the number of places of one
-    anchor, or a larger one that at most HOT_ANCHORS reach, over which its stretches are cut to single
-    windows.
+    Equal rows are places of their own when windows are counted, and have equal spans, so their anchors
+    and spans are kept once. spans are sorted disjoint [first word, end) pairs, flat. `hot` is the number
+    of places of one anchor, or a larger one that at most HOT_ANCHORS reach, over which its stretches are
+    cut to single windows. The number of buckets follows the bytes that go into them.
     """
-    buckets = 16 * partitions(given.sparkSession)
     anchors = _anchors(given, k, window)
     counts = written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(16 * partitions(given.sparkSession), total * PLACE_BYTES // BUCKET_BYTES)
     # at most HOT_ANCHORS have so many places: few enough to send, and their places need not meet
     least = max(hot, total // HOT_ANCHORS)
     known = anchors.join(F.broadcast(counts.where(F.col("n") > least).select("h", F.lit(True).alias("hot"))), "h", "left")
@@ -109,8 +125,8 @@ def covers(given: DataFrame, decide: Decide, window: int, k: int = K, hot: int =
     # places of hot anchors go by their own hash, to where nothing matches them
     spread = known.withColumn("key", F.when(F.col("hot"), F.xxhash64("h", "row", "part", "lo")).otherwise(F.col("h")))
     met = spread.join(often.withColumn("often", F.lit(True)).hint("merge"), "key", "left").where("hot or often")
-    flagged = met.groupBy("row", "part").agg(F.collect_list(F.struct("h", F.coalesce("hot", F.lit(False)).alias("hot"), "lo", "hi")).alias("anchors"))
-    held = given.join(flagged.hint("merge"), ["row", "part"])
+    flagged = met.groupBy("row", "part").agg(F.collect_set(F.struct("h", F.coalesce("hot", F.lit(False)).alias("hot"), "lo", "hi")).alias("anchors"))
+    held = given.select("row", "part", "text").join(flagged.hint("merge"), ["row", "part"])
 
     def decided(rows: pa.Table) -> pa.Table:
         groups: dict[int, dict[bytes, int]] = {}
@@ -129,7 +145,7 @@ def covers(given: DataFrame, decide: Decide, window: int, k: int = K, hot: int =
     stretches = _stretches(held, window, buckets, True)
     decisions = stretches.groupBy("bucket").applyInArrow(decided, "key long, print long, runs array<int>")
     at = _stretches(held, window, buckets, False).join(decisions.hint("merge"), ["key", "print"])
-    runs = at.select("row", "part", F.transform("runs", lambda x: x + F.col("at")).alias("runs")).groupBy("row", "part").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = at.select("row", "part", F.transform("runs", lambda x: x + F.col("at")).alias("runs")).groupBy("row", "part").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

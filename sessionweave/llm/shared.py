@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,26 +55,6 @@ def clean(spark: SparkSession) -> None:
         _deleted(spark, path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished queries: they go once the driver has collected their plans.
-
-    What listeners have still to hear of a query holds its plan, so the listeners come first.
-    """
-    for _ in range(2):
-        with contextlib.suppress(Exception):
-            spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that written() made; only for one that no lazy plan still reads."""
-    spark, path = df.sparkSession, df._written_at
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

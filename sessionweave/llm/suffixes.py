@@ -12,10 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .repeats import K, covers, keyed, runs_of
+from .repeats import K, covers, doc_id, keyed, runs_of
 
 
 def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,4 +85,4 @@ def repeated(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(shown, pa.string())], ["doc_id", "n_repeated", "n_spans", "spans"])
 
     found = covers(keyed(docs), matched, window)
-    return found.select(F.when(F.col("row") != -(1 << 63), F.col("row")), "spans").mapInArrow(told, "doc_id long, n_repeated long, n_spans long, spans string")
+    return found.select(doc_id(), "spans").mapInArrow(told, "doc_id long, n_repeated long, n_spans long, spans string")

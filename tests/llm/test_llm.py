@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,6 +88,47 @@ def test_substring_dedup_hot_anchor(docs, texts, monkeypatch):  # noqa: ANN001
     assert bag(substrings.removed(docs).select("doc_id", "n_removed").collect()) == want
 
 
+def test_phrases_are_located_by_the_automaton_alone(spark, monkeypatch):  # noqa: ANN001
+    rng = random.Random(21)
+    for _ in range(300):
+        window, letters = rng.choice((2, 3, 5)), rng.choice(("abc", "abcdefgh"))
+        counts = {" ".join(rng.choice(letters) for _ in range(rng.randint(1, 14))).encode(): rng.choice((1, 1, 2)) for _ in range(rng.randint(1, 8))}
+        times = Counter()
+        for s, n in counts.items():
+            w = s.split()
+            times.update({g: n * k for g, k in Counter(tuple(w[i : i + window]) for i in range(len(w) - window + 1)).items()})
+        ids = substrings._numbered(list(counts))
+        known = [tuple(p.tolist()) for p in substrings.phrases(ids, list(counts.values()), window)]
+        # each confirmed window is in one phrase, once
+        windows = [p[i : i + window] for p in known for i in range(len(p) - window + 1)]
+        assert len(windows) == len(set(windows)) == sum(n > 1 for n in times.values())
+        for s, runs in zip(counts, substrings.located(list(counts), list(counts.values()), window), strict=True):
+            w = s.split()
+            want = {k for i in range(len(w) - window + 1) if times[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
+            assert {k for a, z in runs for k in range(a, z)} == want
+    passage = prose(rng, 50)
+    stretches = [f"{passage} {x}".encode() for x in ("p", "q")]
+    assert substrings.located(stretches, [1, 1], 35) == [[(0, 50)], [(0, 50)]]
+    whole = substrings.compiled
+    # an automaton that knows none of the phrases finds none
+    monkeypatch.setattr(substrings, "compiled", lambda known: whole([p + 10**6 for p in known]))
+    assert substrings.located(stretches, [1, 1], 35) == [[], []]
+
+
+def test_many_equal_rows(spark):  # noqa: ANN001
+    rng = random.Random(22)
+    text = prose(rng, 60)
+    for id_ in (7, None):
+        d = spark.createDataFrame([(id_, text)] * 2000 + [(8, prose(rng, 60))], "doc_id long, text string").repartition(4)
+        begin = time.monotonic()
+        assert bag(substrings.removed(d).select("doc_id", "n_removed").collect()) == Counter({(id_, 60): 2000, (8, 0): 1})
+        assert bag(suffixes.repeated(d).select("doc_id", "spans").collect()) == Counter({(id_, "0:60"): 1})
+        assert time.monotonic() - begin < 60
+    least = -(1 << 63)
+    d = spark.createDataFrame([(least, text), (None, text), (0, text), (None, "other")], "doc_id long, text string")
+    assert bag(substrings.removed(d).select("doc_id", "n_removed").collect()) == bag([(least, 60), (None, 60), (0, 60), (None, 0)])
+
+
 def test_suffix_array_dedup(docs, texts, empty):  # noqa: ANN001
     want = {(i, sum(g)) for i, _, g in repeated(texts, 50) if any(g)}
     assert {(r.doc_id, r.n_repeated) for r in suffixes.repeated(docs).collect()} == want
@@ -267,16 +309,18 @@ def test_language_id(spark, empty, docs):  # noqa: ANN001
     rng = random.Random(3)
     sounds = {"en": "the and th sh ing of ough".split(), "de": "der und sch ung ich ein ß".split(), "fr": "le des eau oi ç é que".split(), "es": "el los ción ñ rr ue as".split()}
     say = lambda code: " ".join("".join(rng.choice(sounds[code]) for _ in range(rng.randint(1, 3))) for _ in range(40))
-    rows = [(i, say(code), code) for i, code in enumerate([*sounds] * 60)] + [(1000, None, "en"), (1001, "", "en"), (1002, "12 !", "de"), (1003, "x", None), (None, say("en"), "en")]
+    rows = [(i, say(code), code) for i, code in enumerate([*sounds] * 60)] + [(1000, None, "en"), (1001, "", "en"), (1002, "12 !", "de"), (1004, "½ ² ① _", "de"), (1003, "x", None), (None, say("en"), "en")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = langid.predicted(d, langid.fit(d, per_language=30)).join(d, "doc_id", "left").collect()
     assert len(out) == len(rows)
     held = [r for r in out if r.held_out and r.doc_id < 1000]
     assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.95
-    assert all(r.lang_pred == "und" for r in out if r.doc_id in (1000, 1001, 1002)) and all(0 <= r.score <= 1 for r in out)
+    assert all(r.lang_pred == "und" for r in out if r.doc_id in (1000, 1001, 1002, 1004)) and all(0 <= r.score <= 1 for r in out)
     assert langid.predicted(empty, langid.fit(empty)).count() == 0
     assert {r.lang_pred for r in langid.predicted(docs, langid.fit(docs)).collect()} == {"en", "und"}
+    clash = docs.selectExpr("*", "'x' AS lang_pred", "1.0D AS score", "true AS held_out", "'y' AS x")
+    assert bag(langid.predicted(clash, langid.fit(clash)).collect()) == bag(langid.predicted(docs, langid.fit(docs)).collect())
 
 
 def test_quality(docs, texts, empty, spark):  # noqa: ANN001
