@@ -209,6 +209,64 @@ def test_decontamination(spark, empty):  # noqa: ANN001
     assert decontaminate.occurrences(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_is_edit_distance(spark):  # noqa: ANN001
+    """Every item and piece against every stretch of every text."""
+    rng = random.Random(31)
+    letters = "abé漢 "
+
+    def near(piece: str, text: str) -> int:
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(piece, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    fold = lambda t: re.sub("[ \t-\r]+", " ", "".join(c.lower() if "A" <= c <= "Z" or c == "É" else c for c in t)).strip(" ")
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, "x" + some(n) + "y") for i, n in enumerate([1, 3, 6, 9, 11, 12, 13, 14, 18, 24, 30, 40, 60, 60, 70, 90])]
+    docs = [(100, None), (101, ""), (102, " "), (103, "x" * 300)]
+    for i, t in items:
+        for k in range(8):
+            part = t if k < 5 or len(t) < 60 else t[len(t) // 4 :]
+            broken = list(part)
+            for at in rng.sample(range(len(part)), min(len(part), rng.randint(0, 1 + len(part) // 9))):
+                broken[at] = rng.choice(("", "q", "xy", broken[at].upper()))
+            docs.append((1000 + 10 * i + k, some(rng.randint(0, 30)) + rng.choice(("", " ", "\n ")) + "".join(broken) + rng.choice(("", " ")) + some(rng.randint(0, 30))))
+    d = spark.createDataFrame([(i, t, 1, "z") for i, t in docs], "doc_id long, text string, edits long, item_id string").repartition(3)
+    b = spark.createDataFrame([*items, (50, None), (None, "xa"), (51, " "), items[3]], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.pieces) for r in decontaminate.occurrences(d, b, piece=40).collect()}
+    want = {}
+    for i, t in docs:
+        for k, item in items:
+            hits = []
+            for piece in decontaminate.cut(decontaminate.folded(item), 40):
+                piece, most = "".join(map(chr, piece)), int(len(piece) * 0.08 + 1e-9)
+                if most:
+                    hits.append(near(piece, fold(t or "")))
+                else:
+                    hits.append(0 if re.search(rf"(?<![^\W_]){re.escape(piece)}(?![^\W_])", fold(t or "")) else 1)
+                if hits[-1] > most:
+                    hits.pop()
+            if hits:
+                want[i, k] = (min(hits), len(hits))
+    assert got == want and len({k for _, k in want}) == len(items)
+    text = "x" + "ab" * 700_000 + " " + items[-1][1] + " é"
+    long = decontaminate.occurrences(spark.createDataFrame([(1, text)], "doc_id long, text string"), b, piece=40).where("item_id = 15").first()
+    assert text[long.start : long.stop] in items[-1][1] and long.pieces == long.of_pieces
+
+
+def test_part_of_a_long_item(spark):  # noqa: ANN001
+    rng = random.Random(32)
+    item = prose(rng, 120)
+    w = item.split()
+    rows = [(1, " ".join(w[20:80])), (2, " ".join(w[60:])), (3, " ".join(w[:15])), (4, " ".join(x for x in w if len(x) > 4))]
+    d = spark.createDataFrame([(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, t in rows], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (1, prose(rng, 20))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.occurrences(d, b).collect()} == {1, 2}
+
+
 def test_alignment_is_edit_distance():
     rng = random.Random(2)
 
@@ -223,8 +281,7 @@ def test_alignment_is_edit_distance():
 
     for _ in range(60):
         a, b = ("".join(rng.choice("ab") for _ in range(n)) for n in (12, 20))
-        as_bytes = [np.frombuffer(x.encode(), np.uint8) for x in (a, b)]
-        got = decontaminate.aligned(*as_bytes, -12, 20, 6)
+        got = decontaminate.aligned(*map(decontaminate.folded, (a, b)), -12, 20, 6)
         want = distance(a, b)
         assert (got and got[0]) == (want if want <= 6 else None)
 
