@@ -168,6 +168,33 @@ def test_near_duplicates(docs, texts, empty):  # noqa: ANN001
     assert set(neardup.deduplicated(docs).columns) == set(docs.columns)
 
 
+def test_near_duplicates_in_one_large_component(spark):  # noqa: ANN001
+    """Blocks of a component against one task, with a chain whose ends are far apart and texts of one id."""
+    rng = random.Random(51)
+    words_, rows = prose(rng, 120).split(), []
+    for i in range(60):
+        words_[(i * 11) % 120] = f"step{i}"
+        rows.append((500 - i, " ".join(words_)))
+    base = prose(rng, 100).split()
+    for i in range(40):
+        some = list(base)
+        some[rng.randrange(100)] = f"w{i}"
+        rows.append((i, " ".join(some)))
+    rows += [(3, rows[0][1]), (3, ""), (4, None), (600, ""), (600, rows[10][1]), (601, ""), (601, "five other words stand here")]
+    d = spark.createDataFrame([(i, t, "x", 0, 7) for i, t in rows], "doc_id long, text string, component string, rank int, node int").repartition(3)
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in ((i, (t or "").split()) for i, t in rows)]
+    label = {i: i for i, _ in rows}
+    for _ in range(len(label)):
+        for i, x in sets:
+            for j, y in sets:
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+    for block in (4096, 5):
+        got = neardup.classes(d, block=block).where("n_shingles > 0").collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, label[i]) for i, x in sets if x}
+    assert len(set(label.values())) < 12
+
+
 def test_copies_without_id_or_of_one_id(spark):  # noqa: ANN001
     rng = random.Random(12)
     a, b, c, d = (prose(rng, 40) for _ in range(4))
