@@ -1,123 +1,121 @@
-"""Katz backoff language model of words, order 2, trained and applied in the cluster.
-
-Documents are dealt into batches of bounded size. A batch asks for the counts of its distinct word
-pairs, once each; the buckets that hold the pair counts answer in the order asked, so neither texts
-nor occurrences travel with the counts. Counts are Good-Turing discounted up to 5, and by a constant
-above, so every context keeps mass to back off with. Backoff weights are normalised exactly over the
-followers of each context and joined to the pairs that were never seen.
-
-A word is known by 64 bits of hash, and within the followers of a word by 48.
+"""Katz backoff language model of words, of any order, trained and applied in the cluster.
+
+Documents are packed into batches of bounded size. Order by order, a batch asks for the counts of its
+distinct n-grams, once each; a bucket of contexts holds the n-grams of these contexts from all batches,
+and answers in the order asked. So neither texts nor occurrences travel with the counts. Counts are
+Good-Turing discounted up to 5, and by a constant above, so every context keeps mass to back off with.
+What a batch teaches travels with the lower-order counts of each n-gram, so a bucket can normalise the
+backoff weights of its contexts exactly over their followers. The probability of a token is evaluated
+recursively from the lowest order up.
+
+Words and contexts are told apart by 64 bits of hash. A context that is frequent in the corpus is spread
+over all buckets, and its sums are put together afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .shared import crc32_mod, dropped, partitions, written
+from .shared import crc32_mod, partitions, written
 
 U = np.uint64
 END, START = U(1), U(2)
 TOP, TAIL = 5, 0.5
+STEP = U(0x9E3779B97F4A7C15)
+#: about what the n-grams of one byte of text take, and what one bucket may hold of them
+GRAM_BYTES, BUCKET_BYTES = 2, 16 << 20
 
 
 @dataclass
 class Tokens:
     word: np.ndarray
-    before: np.ndarray
     doc: np.ndarray
+    first: np.ndarray  # whether a token is its document's first
+    contexts: list[np.ndarray]  # of each order, what stands before each token; that of order 1 is 0
+
+    def before(self, values: np.ndarray, at_first: int | np.integer) -> np.ndarray:
+        """What the token before each one has, or at_first."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = at_first
+        return out
+
 
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return W.mix(context * STEP + word)
 
-def _tokens(column: pa.ChunkedArray | pa.Array) -> Tokens:
-    """Lower-cased words of each text and an end, with what stands before each."""
-    words, before, docs = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+
+def _tokens(column: pa.ChunkedArray | pa.Array, order: int) -> Tokens:
+    """Lower-cased words of each text and an end, with the contexts of each."""
+    words, docs, first = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for w in W.words(column):
         h, doc, n = w.hashes(lower=True), w.doc_of(), np.diff(w.bounds) + 1
         out = np.full(len(h) + w.n_docs, END, U)
         out[np.arange(len(h)) + doc] = h
-        prior = np.empty_like(out)
-        prior[1:] = out[:-1]
-        prior[np.cumsum(n) - n] = START
+        begins = np.zeros(len(out), bool)
+        begins[np.cumsum(n) - n] = True
         words.append(out)
-        before.append(prior)
+        first.append(begins)
         docs.append(np.repeat(np.arange(w.n_docs), n) + w.first)
-    return Tokens(np.concatenate(words), np.concatenate(before), np.concatenate(docs))
+    word = np.concatenate(words)
+    t = Tokens(word, np.concatenate(docs), np.concatenate(first), [np.zeros(len(word), U)])
+    gram = word
+    for k in range(2, order + 1):
+        t.contexts.append(t.before(gram, START))
+        gram = _joined(t.contexts[-1], word)
+    return t
 
 
 @dataclass
-class Pairs:
-    """Distinct pairs of a batch in order of bucket, word and what stands before it."""
+class Grams:
+    """Distinct n-grams of a batch in order of bucket, context and word."""
 
     of_token: np.ndarray
     bucket: np.ndarray
+    context: np.ndarray
     word: np.ndarray
-    before: np.ndarray
-    head: np.ndarray  # first pair of each run of one bucket and word
+    head: np.ndarray  # first n-gram of each run of one bucket and context
+
+    @property
+    def of_head(self) -> np.ndarray:
+        """For each n-gram, the number of its run."""
+        return np.repeat(np.arange(len(self.head)), np.diff(np.append(self.head, len(self.word))))
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """First n-grams of each bucket and of the end, and the first runs."""
+        edges = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])), len(self.bucket)) if len(self.bucket) else np.zeros(1, np.int64)
+        return edges, np.searchsorted(self.head, edges)
 
 
-def _pairs(t: Tokens, often: np.ndarray, buckets: int) -> Pairs:
-    # pairs of a very frequent word are spread over buckets by both words
-    spread = np.isin(t.word, often)
-    bucket = (np.where(spread, W.mix(t.before * U(0x9E3779B97F4A7C15) + t.word), t.word) % U(buckets)).astype(np.int32)
-    order = np.lexsort((t.before, t.word, bucket))
-    b, w, v = bucket[order], t.word[order], t.before[order]
+def _grams(context: np.ndarray, word: np.ndarray, often: np.ndarray, buckets: int) -> Grams:
+    # n-grams of a very frequent context are spread over buckets
+    key = np.where(np.isin(context, often), _joined(context, word), W.mix(context))
+    bucket = (key % U(buckets)).astype(np.int32)
+    order = np.lexsort((word, context, bucket))
+    b, c, w = bucket[order], context[order], word[order]
     fresh, run = np.ones(len(order), bool), np.ones(len(order), bool)
-    run[1:] = (b[1:] != b[:-1]) | (w[1:] != w[:-1])
-    fresh[1:] = run[1:] | (v[1:] != v[:-1])
+    run[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    fresh[1:] = run[1:] | (w[1:] != w[:-1])
     of_token = np.empty(len(order), np.int64)
     of_token[order] = np.cumsum(fresh) - 1
-    return Pairs(of_token, b[fresh], w[fresh], v[fresh], np.flatnonzero(run[fresh]))
+    return Grams(of_token, b[fresh], c[fresh], w[fresh], np.flatnonzero(run[fresh]))
 
 
-def _low48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, all first bytes first: of small ones nearly all compresses away."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _from48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _frequent(given: DataFrame, share: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Words that are one of `share` training tokens or more (3/4 of that at least), with exact counts.
-
-    So there are at most 4/3 * share of them. A word as frequent as that passes the fourfold lower
-    bar in enough slices to be seen.
-    """
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = _tokens(b.column(0))
-            word, n = np.unique(t.word, return_counts=True)
-            big = n * 4 * share >= len(t.word)
-            yield pa.record_batch([pa.array(np.append(W.signed(word[big]), 0)), pa.array(np.append(n[big], len(t.word)).astype(np.int64)), pa.array(np.append(np.zeros(big.sum(), bool), True))], ["word", "n", "total"])
-
-    train = given.where("train").select("text")
-    found = written(train.mapInArrow(candidates, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n")), "frequent")
-    total = found.where("total").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # at most 4/3 * share rows
-    rows = found.where(~F.col("total") & (F.col("n") * 4 * share >= 3 * total)).select("word").collect()
-    dropped(found)
-    often = np.sort(np.array([r.word for r in rows], np.int64).view(U))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(often), np.int64)
-        for b in batches:
-            word = _tokens(b.column(0)).word
-            at = np.searchsorted(often, word)
-            at[at == len(often)] = 0
-            n += np.bincount(at[often[at] == word], minlength=len(often)) if len(often) else 0
-        yield pa.record_batch([pa.array(np.arange(len(often))), pa.array(n)], ["k", "n"])
-
-    counts = {r.k: r.n for r in train.mapInArrow(exact, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return often, np.array([counts.get(k, 0) for k in range(len(often))], np.int64)
+def _from_planes(raw: bytes | None, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw or b"", np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def discounts(of_counts: np.ndarray) -> np.ndarray:
@@ -138,206 +136,254 @@ def discounts(of_counts: np.ndarray) -> np.ndarray:
     return left
 
 
+def _of_counts(x: np.ndarray) -> np.ndarray:
+    return np.bincount(x[(x > 0) & (x <= TOP + 1)], minlength=TOP + 2)
+
+
 @dataclass
-class Model:
-    pair_left: np.ndarray
-    word_left: np.ndarray
-    unseen: float  # probability of all words that training has not
+class Level:
+    """What is known of all n-grams of one order."""
+
+    left: np.ndarray  # of counts 0..TOP after discounting
+    of_counts: np.ndarray
     n: int
     v: int
+    often: np.ndarray  # contexts that are spread over buckets, sorted
+    sums: np.ndarray = field(default_factory=lambda: np.zeros((0, TOP + 2)))  # of these, as of contexts
 
-    def left(self, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts <= TOP, table[np.minimum(counts, TOP)], counts - TAIL)
+    def discounted(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts <= TOP, self.left[np.minimum(counts, TOP)], counts - TAIL)
 
-    def words(self, counts: np.ndarray) -> np.ndarray:
-        """Probability of words by their count."""
-        return np.where(counts > 0, self.left(self.word_left, counts) / max(self.n, 1), self.unseen)
+    @property
+    def unseen(self) -> float:
+        """Probability of all words that training has not, at order 1."""
+        few = self.of_counts[1 : TOP + 1]
+        many, mass = self.v - few.sum(), self.n - (few * np.arange(1, TOP + 1)).sum()
+        return float(1 - ((few * self.left[1:]).sum() + mass - TAIL * many) / max(self.n, 1)) if self.n else 1.0
 
-    @staticmethod
-    def of(pair_counts: np.ndarray, word_counts: np.ndarray, n: int, v: int) -> Model:
-        pair_left, word_left = discounts(pair_counts), discounts(word_counts)
-        few = word_counts[1 : TOP + 1]
-        many, mass = v - few.sum(), n - (few * np.arange(1, TOP + 1)).sum()
-        taken = ((few * word_left[1:]).sum() + mass - TAIL * many) / max(n, 1)
-        return Model(pair_left, word_left, float(1 - taken) if n else 1.0, n, v)
+    def freed(self, sums: np.ndarray) -> np.ndarray:
+        """Counts that discounting took from contexts with these numbers of followers by count."""
+        return sums[:, :TOP] @ (np.arange(1, TOP + 1) - self.left[1:]) + TAIL * sums[:, TOP]
 
 
-def _of_counts(x: np.ndarray) -> np.ndarray:
-    return np.bincount(x[(x > 0) & (x <= TOP + 1)], minlength=TOP + 2)
+ASK = "batch long, bucket int, contexts binary, sizes binary, words binary, learnt binary, low binary, below binary"
+ANSWER = "level int, kind int, batch long, bucket int, times binary, sums binary, stats array<long>, context long, part array<double>"
+#: kinds of answers: to a batch, numbers for the whole model, frequent contexts of the next order, sums of frequent contexts
+REPLY, STATS, FREQUENT, PART = range(4)
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+BATCH = "batch long, bytes long, docs long, blob binary"
+TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-ANSWER = "batch int, bucket int, pairs binary, owned binary, words binary, stats array<long>"
-SCORED = "kind int, bucket int, batch int, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, a binary, b binary, c binary"
+def _table(columns: list, schema: str) -> pa.Table:
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, TYPES[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+def _packed(batch_bytes: int):  # noqa: ANN202
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            # equal rows are scored once and count as often as they come
+            t = pa.Table.from_batches([b]).group_by(b.schema.names).aggregate([([], "count_all")]).combine_chunks()
+            ends = np.cumsum(np.diff(W.buffers(t["text"])[1]))
+            for rows in np.split(np.arange(t.num_rows), np.flatnonzero(np.diff(ends // batch_bytes)) + 1):
+                if not len(rows):
+                    continue
+                part = t.slice(rows[0], len(rows))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                    to.write_table(part)
+                size = int(ends[rows[-1]] - (ends[rows[0] - 1] if rows[0] else 0))
+                docs = int((part["train"].to_numpy() * part["count_all"].to_numpy()).sum())
+                yield _table([[number], [size], [docs], [sink.getvalue().to_pybytes()]], BATCH).to_batches()[0]
+                number += 1
+
+    return pack
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch number as one compressed blob: texts are what travels most."""
-    for b in batches:
-        number = b.column(b.num_columns - 1).to_numpy()
-        order = np.argsort(number, kind="stable")
-        cuts = np.flatnonzero(np.diff(number[order])) + 1
+def _unpacked(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+
+
+@dataclass
+class Model:
+    """The lower orders first; those not yet counted are missing."""
+
+    order: int
+    docs: int
+    buckets: int
+    levels: list[Level]
+    often: np.ndarray  # contexts of the next order that are spread
+
+    def evaluated(self, t: Tokens, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log10 probability of each token, its count, its context's count at the last order, and its count at the first."""
+        value = counts = total = known = np.zeros(len(t.word))
+        number = replies["level"].to_numpy()
+        for k, level in enumerate(self.levels, 1):
+            g = _grams(t.contexts[k - 1], t.word, level.often, self.buckets)
+            mine = replies.filter(pa.array(number == k)).sort_by("bucket")
+            times = np.concatenate([np.zeros(0, np.int64), *(_from_planes(x.as_py()) for x in mine["times"])])
+            total = np.full(len(t.word), level.n) if k == 1 else t.before(counts, self.docs)
+            counts = times[g.of_token]
+            with np.errstate(divide="ignore"):
+                seen = np.log10(np.maximum(level.discounted(counts), 1e-300)) - np.log10(np.maximum(total, 1))
+            if k == 1:
+                known, value = counts, np.where(counts > 0, seen, np.log10(max(level.unseen, 1e-300)))
+                continue
+            # contexts of n-grams that were never seen, in the order in which they were asked for
+            lost = np.zeros(len(g.head), bool)
+            lost[g.of_head[times == 0]] = True
+            spread = np.isin(g.context[g.head], level.often)
+            sums = np.zeros((len(g.head), TOP + 2))
+            sums[lost & ~spread] = np.concatenate([np.zeros((0, TOP + 2)), *(_from_planes(x.as_py(), np.float64).reshape(-1, TOP + 2) for x in mine["sums"])])
+            sums[spread] = level.sums[np.searchsorted(level.often, g.context[g.head][spread])]
+            back = np.log10(np.maximum(level.freed(sums), 1e-300)) - np.log10(np.maximum(1 - sums[:, -1], 1e-300))
+            value = np.where(counts > 0, seen, np.where(total > 0, value + back[g.of_head[g.of_token]] - np.log10(np.maximum(total, 1)), value))
+        return value, counts, total, known
+
+    def asked(self, rows: pa.Table, replies: pa.Table | None) -> pa.Table:
+        """N-grams of the next order of a batch, by bucket."""
+        k = len(self.levels) + 1
+        batch, rows = rows["batch"][0].as_py(), _unpacked(rows["blob"][0])
+        t = _tokens(rows["text"], self.order)
+        g = _grams(t.contexts[k - 1], t.word, self.often, self.buckets)
+        weight = (rows["train"].to_numpy() * rows["count_all"].to_numpy()).astype(float)[t.doc]
+        learnt = np.bincount(g.of_token, weight, minlength=len(g.word)).astype(np.int64)
+        low = below = np.zeros(len(g.word), np.int64)
+        if k > 1:
+            _, counts, total, _ = self.evaluated(t, replies)
+            low, below = np.zeros((2, len(g.word)), np.int64)
+            # all places of an n-gram have one count of the order below; it goes with what is learnt
+            taught = weight > 0
+            low[g.of_token[taught]], below[g.of_token[taught]] = counts[taught], total[taught]
+        edges, heads = g.cuts()
         out = []
-        for rows in np.split(order, cuts):
-            part = b.take(pa.array(rows))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                to.write_batch(part)
-            out.append((int(number[rows[0]]), sink.getvalue().to_pybytes()))
-        yield pa.record_batch([pa.array([n for n, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["batch", "blob"])
+        for a, z, i, j in zip(edges[:-1], edges[1:], heads[:-1], heads[1:], strict=True):
+            own = g.head[i:j]
+            sizes = np.diff(np.append(own, z))
+            out.append((batch, int(g.bucket[a]), g.context[own].tobytes(), _planes(sizes), g.word[a:z].tobytes(), _planes(learnt[a:z]), _planes(low[a:z]), _planes(below[a:z])))
+        return _table(list(zip(*out, strict=True)) if out else [[]] * 8, ASK)
+
+    def answered(self, rows: pa.Table, often_from: int) -> pa.Table:
+        """Counts of a bucket's n-grams in the order asked, and what the model needs of them."""
+        k, lower = len(self.levels) + 1, self.levels[-1] if self.levels else None
+        raw = lambda c: [x.as_py() for x in rows[c]]
+        sizes = [_from_planes(x) for x in raw("sizes")]
+        asked = [np.frombuffer(x, U) for x in raw("contexts")]
+        words = [np.frombuffer(x, U) for x in raw("words")]
+        context = np.concatenate([np.repeat(c, s) for c, s in zip(asked, sizes, strict=True)])
+        word = np.concatenate(words)
+        learnt, low, below = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("learnt", "low", "below"))
+        order = np.lexsort((word, context))
+        c, w = context[order], word[order]
+        run, fresh = np.ones(len(order), bool), np.ones(len(order), bool)
+        run[1:] = c[1:] != c[:-1]
+        fresh[1:] = run[1:] | (w[1:] != w[:-1])
+        starts = np.flatnonzero(fresh)
+        times = np.add.reduceat(learnt[order], starts)
+        c, w = c[starts], w[starts]
+        owner = np.cumsum(run[starts]) - 1
+        kinds = c[np.flatnonzero(run[starts])]
+        back = np.empty(len(order), np.int64)
+        back[order] = times[np.cumsum(fresh) - 1]
+        # followers by count, and their probability at the order below, of each context
+        sums = np.zeros((len(kinds), TOP + 2))
+        for r in range(1, TOP + 1):
+            sums[:, r - 1] = np.bincount(owner, times == r, minlength=len(kinds))
+        sums[:, TOP] = np.bincount(owner, times > TOP, minlength=len(kinds))
+        if lower:
+            chance = lower.discounted(np.maximum.reduceat(low[order], starts)) / np.maximum(np.maximum.reduceat(below[order], starts), 1)
+            sums[:, TOP + 1] = np.bincount(owner, np.where(times > 0, chance, 0.0), minlength=len(kinds))
+        spread = np.isin(kinds, self.often)
+        out, begin = [], 0
+        none = (None,) * 5
+        for batch, own, size, n in zip(rows["batch"].to_pylist(), asked, sizes, map(len, words), strict=True):
+            got = back[begin : begin + n]
+            begin += n
+            lost = np.zeros(len(own), bool)
+            lost[np.repeat(np.arange(len(own)), size)[got == 0]] = True
+            at = np.searchsorted(kinds, own)
+            told = sums[at[lost & ~spread[at]]]
+            out.append((REPLY, batch, _planes(got), _planes(told.ravel()), *none[:3]))
+        many = W.signed(_joined(c, w) if k > 1 else w)[times >= often_from]
+        out.append((STATS, None, None, None, [*_of_counts(times).tolist(), int(times.sum()), int((times > 0).sum())], None, None))
+        out.append((FREQUENT, None, None, None, many.tolist(), None, None))
+        if lower:
+            out += [(PART, None, None, None, None, int(v), s.tolist()) for v, s in zip(W.signed(kinds[spread]), sums[spread], strict=True)]
+        kind, batch, times_, sums_, stats, context_, part = zip(*out, strict=True)
+        n = len(out)
+        return _table([[k] * n, kind, batch, [rows["bucket"][0].as_py()] * n, times_, sums_, stats, context_, part], ANSWER)
+
+    def scored(self, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = _unpacked(rows["blob"][0])
+        t = _tokens(rows["text"], self.order)
+        value, _, _, c_word = self.evaluated(t, replies)
+        n, first = rows.num_rows, self.levels[0]
+        size = np.bincount(t.doc, minlength=n)
+        base = np.bincount(t.doc, np.log10(c_word + 1.0), minlength=n) - size * np.log10(first.n + first.v + 1.0)
+        known = np.bincount(t.doc, c_word > 0, minlength=n).astype(np.int64)
+        out = _table([rows["doc_id"], rows["held_out"], size, known, base, np.bincount(t.doc, value, minlength=n)], RESULT)
+        return out.take(pa.array(np.repeat(np.arange(n), rows["count_all"].to_numpy())))
+
+
+def _asking(m: Model):  # noqa: ANN202
+    return lambda rows, got: m.asked(rows, got)
+
+
+def _asking_first(m: Model):  # noqa: ANN202
+    return lambda batches: (x for b in batches for i in range(b.num_rows) for x in m.asked(pa.Table.from_batches([b.slice(i, 1)]), None).to_batches())
+
 
+def _answering(m: Model, often_from: int):  # noqa: ANN202
+    return lambda rows: m.answered(rows, often_from)
 
-def _unpacked(rows: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["blob"]]).combine_chunks()
 
+def _scoring(m: Model):  # noqa: ANN202
+    return lambda rows, got: m.scored(rows, got)
 
-def scored(docs: DataFrame, mod: int = 7, rest: int = 2, batch_bytes: int = 12 << 20) -> DataFrame:
+
+def scored(docs: DataFrame, order: int = 2, mod: int = 7, rest: int = 2, batch_bytes: int = 10 << 20, share: int = 1024) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod `mod` is `rest` are held out, and so is what has a null id
-    from training, though held_out is false for it. A null or empty text is one end. base_score adds
-    one to every count; score is the Katz log10 probability, in which all unknown words are one type.
+    from training, though held_out is false for it. A null or empty text is one end. Equal rows count
+    each. base_score adds one to every count; score is the Katz log10 probability at `order`, in which all
+    unknown words are one type. A batch holds at most about `batch_bytes` of text or one longer document.
+    A context that one of some `share` words of the corpus ends is spread over buckets.
     """
     spark = docs.sparkSession
-    text = F.col("text").cast("string")
+    held = crc32_mod("doc_id", mod)
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        text.alias("text"),
-        F.coalesce(crc32_mod("doc_id", mod) == rest, F.lit(False)).alias("held_out"),
-        F.coalesce(crc32_mod("doc_id", mod) != rest, F.lit(False)).alias("train"),
+        F.col("text").cast("string").alias("text"),
+        F.coalesce(held == rest, F.lit(False)).alias("held_out"),
+        F.coalesce(held != rest, F.lit(False)).alias("train"),
     )
-    total, train_docs = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    n_batches, buckets = 1 + total // batch_bytes, 4 * partitions(spark)
-    often, often_counts = _frequent(given)
-    dealt = given.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).mapInArrow(_packed, "batch int, blob binary")
-
-    def ask(rows: pa.Table) -> pa.Table:
-        rows = _unpacked(rows)
-        t = _tokens(rows["text"])
-        p = _pairs(t, often, buckets)
-        learnt = np.bincount(p.of_token, rows["train"].to_numpy().astype(float)[t.doc], minlength=len(p.word)).astype("<u4")
-        out, edges = [], np.append(np.flatnonzero(np.append(True, p.bucket[1:] != p.bucket[:-1])), len(p.bucket))
-        heads = np.searchsorted(p.head, edges)
-        for k in range(len(edges) - 1):
-            a, z, own = edges[k], edges[k + 1], p.head[heads[k] : heads[k + 1]]
-            out.append((int(p.bucket[a]), p.word[own].tobytes(), np.diff(np.append(own, z)).astype("<u4").tobytes(), _low48(p.before[a:z]), learnt[a:z].tobytes()))
-        cols = list(zip(*out, strict=True))
-        batch = pa.array(np.full(len(out), rows["batch"][0].as_py(), np.int32))
-        return pa.table([batch, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["batch", "bucket", "words", "sizes", "before", "learnt"])
-
-    asked = dealt.groupBy("batch").applyInArrow(ask, "batch int, bucket int, words binary, sizes binary, before binary, learnt binary")
-
-    def answer(rows: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x.as_py(), U) for x in rows["words"]]
-        sizes = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["sizes"]]
-        word = np.concatenate([np.repeat(w, s) for w, s in zip(names, sizes, strict=True)])
-        before = np.concatenate([_from48(x.as_py()) for x in rows["before"]])
-        learnt = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows["learnt"]]).astype(np.int64)
-        order = np.lexsort((before, word))
-        w, v = word[order], before[order]
-        run, fresh = np.ones(len(order), bool), np.ones(len(order), bool)
-        run[1:] = w[1:] != w[:-1]
-        fresh[1:] = run[1:] | (v[1:] != v[:-1])
-        pair = np.cumsum(fresh) - 1
-        times = np.add.reduceat(learnt[order], np.flatnonzero(fresh))
-        kinds = w[run]
-        word_times = np.add.reduceat(learnt[order], np.flatnonzero(run))
-        at = np.minimum(np.searchsorted(often, kinds), max(len(often) - 1, 0))
-        shared = often[at] == kinds if len(often) else np.zeros(len(kinds), bool)
-        word_times[shared] = often_counts[at[shared]] if len(often) else 0
-        back = np.empty(len(order), np.int64)
-        back[order] = times[pair]
-        owned = np.zeros(len(order), bool)
-        owned[order] = fresh
-        out, begin = [], 0
-        for batch, own_words, s in zip(rows["batch"].to_pylist(), names, sizes, strict=True):
-            end = begin + int(s.sum())
-            counts = word_times[np.searchsorted(kinds, own_words)]
-            out.append((batch, back[begin:end].astype("<u4").tobytes(), np.packbits(owned[begin:end]).tobytes(), counts.astype("<u8").tobytes(), None))
-            begin = end
-        own = word_times[~shared]
-        out.append((-1, None, None, None, [*_of_counts(times).tolist(), *_of_counts(own).tolist(), int(own.sum()), int((own > 0).sum())]))
-        cols = list(zip(*out, strict=True))
-        bucket = pa.array(np.full(len(out), rows["bucket"][0].as_py(), np.int32))
-        return pa.table([pa.array(cols[0], pa.int32()), bucket, *(pa.array(c, pa.binary()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int64()))], [c.split()[0] for c in ANSWER.split(", ")])
-
-    answers = written(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "counts", "lz4")
-    width = 2 * (TOP + 2) + 2
-    sums = answers.where("batch = -1").agg(*(F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(width))).first()
-    stats = np.array(list(sums), np.int64)
-    model = Model.of(stats[: TOP + 2], stats[TOP + 2 : 2 * TOP + 4] + _of_counts(often_counts), int(stats[-2] + often_counts.sum()), int(stats[-1] + (often_counts > 0).sum()))
-
-    def score(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in SCORED.split(", ")]
-        if not rows.num_rows:
-            return pa.table([pa.array([], t) for t in arrow], names)
-        rows = _unpacked(rows)
-        t = _tokens(rows["text"])
-        p = _pairs(t, often, buckets)
-        replies = replies.sort_by("bucket")
-        times = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in replies["pairs"]]).astype(np.int64)
-        sizes = [len(x.as_py()) // 4 for x in replies["pairs"]]
-        owned = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(replies["owned"], sizes, strict=True)]).astype(bool)
-        word_times = np.repeat(np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in replies["words"]]).astype(np.int64), np.diff(np.append(p.head, len(p.word))))
-        c_pair, c_word = times[p.of_token], word_times[p.of_token]
-        c_before = np.empty_like(c_word)
-        c_before[1:] = c_word[:-1]
-        c_before[t.before == START] = train_docs
-        seen = c_pair > 0
-        with np.errstate(divide="ignore"):
-            value = np.where(seen, np.log10(np.maximum(model.left(model.pair_left, c_pair), 1e-300)) - np.log10(np.maximum(c_before, 1)), np.log10(model.words(c_word)))
-        n = rows.num_rows
-        size = np.bincount(t.doc, minlength=n)
-        known = np.bincount(t.doc, c_word > 0, minlength=n).astype(np.int64)
-        base = np.bincount(t.doc, np.log10(c_word + 1.0), minlength=n) - size * np.log10(model.n + model.v + 1.0)
-        out = [[pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.array(np.full(n, rows["batch"][0].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)), rows["doc_id"].combine_chunks(), rows["held_out"].combine_chunks(), pa.array(size), pa.array(known), pa.array(base), pa.array(np.bincount(t.doc, value, minlength=n)), *[pa.nulls(n, pa.binary())] * 3]]
-
-        def sent(kind: int, context: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
-            to = (context % U(buckets)).astype(np.int32)
-            order = np.lexsort((context, to))
-            cut = np.append(np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
-            blobs = [[x[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (context, b, c)]
-            m = len(blobs[0])
-            out.append([pa.array(np.full(m, kind, np.int32)), pa.array(to[order[cut[:-1]]]), pa.array(np.full(m, rows["batch"][0].as_py(), np.int32)), *[pa.nulls(m, k) for k in arrow[3:10]], *(pa.array(x, pa.binary()) for x in blobs)])
-
-        followers = owned & (times > 0)
-        sent(1, p.before[followers], times[followers].astype("<u4"), word_times[followers].astype("<u8"))
-        backed = ~seen & (c_before > 0)
-        sent(2, t.before[backed], t.doc[backed].astype("<u4"), np.zeros(int(backed.sum()), "<u1"))
-        return pa.concat_tables([pa.table(c, names) for c in out])
-
-    arrow = [KINDS[c.split()[1]] for c in SCORED.split(", ")]
-    replies = answers.where("batch >= 0").drop("stats")
-    parts = written(dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(score, SCORED), "scores", "lz4")
-
-    def back_off(rows: pa.Table) -> pa.Table:
-        kind = rows["kind"].to_numpy()
-        blob = lambda k, c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_py(), t) for x, y in zip(rows[c], kind, strict=True) if y == k)])
-        context, times, word_times = blob(1, "a", U), blob(1, "b", "<u4").astype(np.int64), blob(1, "c", "<u8").astype(np.int64)
-        wanted, place = blob(2, "a", U), blob(2, "b", "<u4").astype(np.int64)
-        batch = np.concatenate([np.zeros(0, np.int64), *(np.full(len(x.as_py()) // 4, i) for x, y, i in zip(rows["b"], kind, rows["batch"].to_pylist(), strict=True) if y == 2)])
-        v, at = np.unique(context, return_inverse=True)
-        all_ = np.bincount(at, times, minlength=len(v))
-        freed = np.bincount(at, times - model.left(model.pair_left, times), minlength=len(v)) / np.maximum(all_, 1)
-        others = 1 - np.bincount(at, model.words(word_times), minlength=len(v))
-        weight = np.log10(np.maximum(freed, 1e-300)) - np.log10(np.maximum(others, 1e-300))
-        where = np.searchsorted(v, wanted)
-        order = np.argsort(batch, kind="stable")
-        cut = np.append(np.flatnonzero(np.append(True, np.diff(batch[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
-        value = weight[where]
-        runs = [order[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table([pa.array([int(batch[r[0]]) for r in runs], pa.int32()), pa.array([place[r].astype("<u4").tobytes() for r in runs], pa.binary()), pa.array([value[r].tobytes() for r in runs], pa.binary())], ["batch", "places", "backed"])
-
-    def add(rows: pa.Table, backed: pa.Table) -> pa.Table:
-        place = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_py(), "<u4") for x in backed["places"])]).astype(np.int64)
-        value = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_py()) for x in backed["backed"])])
-        extra = np.bincount(place, value, minlength=rows.num_rows)
-        score = pa.array(rows["score"].to_numpy() + extra[rows["place"].to_numpy()])
-        return pa.table([rows[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")] + [score], [c.split()[0] for c in RESULT.split(", ")])
-
-    backed = parts.where("kind > 0").select("kind", "bucket", "batch", "a", "b", "c").groupBy("bucket").applyInArrow(back_off, "batch int, places binary, backed binary")
-    own = parts.where("kind = 0").select("batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    out = own.groupBy("batch").cogroup(backed.groupBy("batch")).applyInArrow(add, RESULT)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    batches = written(given.mapInArrow(_packed(batch_bytes), BATCH), "batches")
+    total, train_docs = batches.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    batches = batches.select("batch", "blob")
+    buckets = max(4 * partitions(spark), total * GRAM_BYTES // BUCKET_BYTES)
+    # a word takes two bytes at least, so at most 4 * share contexts are this frequent
+    often_from = 1 + total // (8 * share)
+    model, replies = Model(order, train_docs, buckets, [], np.zeros(1, U)), None
+    for k in range(1, order + 1):
+        if replies is None:
+            asked = batches.mapInArrow(_asking_first(model), ASK)
+        else:
+            asked = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_asking(model), ASK)
+        answers = written(asked.groupBy("bucket").applyInArrow(_answering(model, often_from), ANSWER), f"counts{k}")
+        told = answers.where(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(TOP + 4))).first()
+        parts = answers.where(F.col("kind") == PART).groupBy("context").agg(*(F.sum(F.col("part")[i]) for i in range(TOP + 2))).collect()
+        sums = np.zeros((len(model.often), TOP + 2))
+        for r in parts:
+            sums[np.searchsorted(model.often, np.array([r[0]], np.int64).view(U)[0])] = r[1:]
+        stats = np.array(list(told), np.int64)
+        level = Level(discounts(stats[: TOP + 2]), stats[: TOP + 2], int(stats[-2]), int(stats[-1]), model.often, sums)
+        many = answers.where(F.col("kind") == FREQUENT).select(F.explode("stats").alias("context")).collect()
+        often = np.unique(np.append(np.array([r.context for r in many], np.int64).view(U), START))
+        model = Model(order, train_docs, buckets, [*model.levels, level], often)
+        told_batches = answers.where(F.col("kind") == REPLY).select("level", "batch", "bucket", "times", "sums")
+        replies = told_batches if replies is None else replies.unionByName(told_batches)
+    out = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_scoring(model), RESULT)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.levels[0].n).cast("long").alias("train_tokens"), "base_score", "score")

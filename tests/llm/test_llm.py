@@ -495,38 +495,55 @@ def test_threshold_from_all_labels(spark):  # noqa: ANN001
     assert model.forest is not None and good.count(False) <= 0.01 * len(good)
 
 
-def test_katz(docs, texts, empty):  # noqa: ANN001
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(docs, texts, empty, order):  # noqa: ANN001
     rows = [(i, [*(x.lower() for x in words(t)), 0]) for i, t in texts]
+    rows += rows[:3] * 2
+    d = docs.unionByName(docs.sparkSession.createDataFrame([(i, t, None, None, 0, 0, None) for i, t in texts[:3] * 2], DOCS)).repartition(3)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two, context = Counter(), Counter(), Counter()
-    for i, w in rows:
-        if i is not None and not held(i):
-            one.update(w)
-            two.update(zip([1, *w], w, strict=False))
-            context.update([1, *w[:-1]])
+    # grams[k] of order k: what stands before (as many words, starts before the text) and the word
+    places = lambda w, k: [(tuple(([1] * k + w)[j + 1 : j + k]), w[j]) for j in range(len(w))]
+    grams = {k: Counter(g for i, w in rows if i is not None and not held(i) for g in places(w, k)) for k in range(1, order + 1)}
+    one = Counter({w: c for (_, w), c in grams[1].items()})
     n, v = sum(one.values()), len(one)
-    of = lambda c: np.array([0, *(sum(x == r for x in c.values()) for r in range(1, 7))])
-    left2, left1 = katz.discounts(of(two)), katz.discounts(of(one))
-    left = lambda table, r: table[r] if r <= 5 else r - 0.5
-    unseen = 1 - sum(left(left1, c) for c in one.values()) / n
-    p = lambda w: left(left1, one[w]) / n if w in one else unseen
-    after = defaultdict(list)
-    for (a, b), r in two.items():
-        after[a].append((b, r))
-    alpha = {a: (1 - sum(left(left2, r) for _, r in f) / context[a]) / (1 - sum(p(b) for b, _ in f)) for a, f in after.items()}
-    for a in list(after)[:50]:
-        assert sum(left(left2, r) for _, r in after[a]) / context[a] + alpha[a] * (1 - sum(p(b) for b, _ in after[a])) == pytest.approx(1)
+    left = {k: katz.discounts(np.array([0, *(sum(x == r for x in c.values()) for r in range(1, 7))])) for k, c in grams.items()}
+    after = {k: defaultdict(dict) for k in grams}
+    for k, c in grams.items():
+        for (before, w), r in c.items():
+            after[k][before][w] = r
+    kept = lambda k, r: left[k][r] if r <= 5 else r - 0.5
+    unseen = 1 - sum(kept(1, c) for c in one.values()) / n
+
+    def p(k, before, w):  # noqa: ANN001, ANN202
+        if k == 1:
+            return kept(1, one[w]) / n if w in one else unseen
+        own, lower = after[k].get(before), p(k - 1, before[1:], w)
+        if not own:
+            return lower
+        total = sum(own.values())
+        return kept(k, own[w]) / total if w in own else lower * weight(k, before)
+
+    weights = {}
+
+    def weight(k, before):  # noqa: ANN001, ANN202
+        if (k, before) not in weights:
+            own = after[k][before]
+            mass = sum(kept(k, r) for r in own.values()) / sum(own.values())
+            weights[k, before] = (1 - mass) / (1 - sum(p(k - 1, before[1:], w) for w in own))
+        return weights[k, before]
+
+    for before in list(after[order])[:20]:
+        assert sum(p(order, before, w) for w in one) + p(order, before, "no such word") == pytest.approx(1)
     want = defaultdict(list)
     for i, w in rows:
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        score = sum(math.log10(left(left2, two[a, b]) / context[a]) if (a, b) in two else math.log10(p(b)) + (math.log10(alpha[a]) if a in alpha else 0) for a, b in zip([1, *w], w, strict=False))
-        want[i].append((held(i), len(w), sum(x in one for x in w), n, round(base, 6), round(score, 6)))
-    for size in (24 << 20, 2000):
+        want[i].append((held(i), len(w), sum(x in one for x in w), n, round(base, 5), round(sum(math.log10(p(order, before, x)) for before, x in places(w, order)), 5)))
+    for size, share in ((24 << 20, 1024), (2000, 50)):
         got = defaultdict(list)
-        for r in katz.scored(docs, batch_bytes=size).collect():
-            got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)))
+        for r in katz.scored(d, order=order, batch_bytes=size, share=share).collect():
+            got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)))
         assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
-    assert katz.scored(empty).count() == 0
+    assert katz.scored(empty, order=order).count() == 0
 
 
 def toy() -> pieces.Vocabulary:
