@@ -61,10 +61,15 @@ def _wordlike(c: int) -> bool:
 
 
 def cut(item: np.ndarray, piece: int) -> list[np.ndarray]:
-    """The item, or its pieces of `piece` characters from every half piece on if it has 3/2 of that or more."""
-    if 2 * len(item) < 3 * piece:
-        return [item]
-    return [item[a : a + piece] for a in sorted({*range(0, len(item) - piece + 1, piece // 2), len(item) - piece})]
+    """The item, or, from 2 * `piece` characters on, equal pieces of at least `piece` and those half a piece further on.
+
+    Pieces that lie side by side make up the item, so where it occurs within its budget one of them
+    occurs within its own.
+    """
+    k = max(1, len(item) // piece)
+    edges = [j * len(item) // k for j in range(k + 1)]
+    middles = [(a + z) // 2 for a, z in zip(edges, edges[1:])]  # noqa: B905, RUF007
+    return [item[a:z] for x in (edges, middles) for a, z in zip(x, x[1:])]  # noqa: B905, RUF007
 
 
 class Table:
@@ -227,11 +232,11 @@ def located(index: Index, low: np.ndarray, offsets: np.ndarray) -> dict[tuple[in
 SCHEMA = "doc_id long, item_id long, edits long, start long, stop long, pieces long, of_pieces long"
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, piece: int = 240, block_bytes: int = 8 << 20) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, piece: int = 160, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs and item that occurs in it: doc_id, item_id, edits, start, stop, pieces, of_pieces.
 
-    An item of at least 3/2 of `piece` characters is cut into pieces of that length, half overlapping, so
-    that any part of it that long counts; a shorter one is one piece. Of `of_pieces` pieces, `pieces`
+    An item of 2 * `piece` characters or more is cut into half overlapping pieces of at least `piece`, so
+    that any part of it of 3/2 such pieces counts; a shorter one is one piece. Of `of_pieces` pieces, `pieces`
     occur; edits, start and stop are of the one with the fewest edits, the first in the text among equals.
     start and stop are code points of the whole text. A piece so short that it allows no edit must stand
     between ends of words. Rows of null or empty text have no occurrence, nor have items that are null,
