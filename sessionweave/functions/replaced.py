@@ -124,6 +124,31 @@ def edited(text: str, edits: list[tuple[str, str]]) -> str:
     return text
 
 
+def _edit(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    def one(t: str | None, a: str | None, b: str | None) -> tuple[str | None, str | None]:
+        try:
+            return edited(t or "", [(a or "", b or "")]), None
+        except ValueError as e:
+            return None, str(e)
+
+    return pd.DataFrame([one(*x) for x in zip(text, old, new, strict=True)], columns=["text", "error"])
+
+
+def edit(text: str | Column, old: str | Column, new: str | Column) -> Column:
+    """Struct of the text with one replacement made, or of why it could not be."""
+    return F.pandas_udf(_edit, "text string, error string")(text, old, new)
+
+
+def _mapped(function, kind: str):  # noqa: ANN001, ANN202
+    """A column function that applies a function of strings row by row, null to null."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else function(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    run.__annotations__ = {}
+    return lambda *columns: F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)(*columns)
+
+
 def line_diff(old: str, new: str, context: int = 4) -> str:
     return "\n".join(list(difflib.unified_diff(old.split("\n"), new.split("\n"), lineterm="", n=context))[2:])
 
@@ -304,3 +329,29 @@ def short_hash(text: str) -> str:
         return out or "0"
 
     return base36(lanes[1]) + base36(lanes[0])
+
+
+def json_conformed(schema: dict):  # noqa: ANN201
+    """Column function: a JSON text brought to a schema; null where it is no JSON."""
+
+    def run(text: str) -> str | None:
+        try:
+            return json.dumps(conformed(json.loads(text), schema), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return _mapped(run, "string")
+
+
+def _dumped(value: dict | None) -> str | None:
+    return None if value is None else json.dumps(value, ensure_ascii=False)
+
+
+#: column functions of the functions above
+diff = _mapped(line_diff, "string")
+words = _mapped(arguments, "array<string>")
+filled = _mapped(lambda template, args: substituted(template, list(args)), "string")
+json_repaired = _mapped(repaired_json, "string")
+json_open = _mapped(lambda t: open_json(t)[0], "boolean")
+json_streamed = _mapped(lambda t: _dumped(streamed_json(t)), "string")
+json_found = _mapped(lambda t: _dumped(json_object(t)), "string")

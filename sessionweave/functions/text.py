@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionweave.functions.content import utf16
+
 #: fixed values: (class, pattern) in order; the first that the lower-cased error text holds wins
 EDIT_ERRORS = (
     ("file_not_found", "file not found"),
@@ -26,7 +28,19 @@ CALL_ERRORS = (
 )
 #: fixed values: families of model and provider names, first substring wins
 MODELS = ("claude", "gpt", "o1", "o3", "o4", "gemini", "glm", "kimi", "qwen", "deepseek", "llama", "mistral")
-PROVIDERS = ("anthropic", "openai", "google", "prime", "openrouter", "bedrock", "vertex", "mistral", "groq")
+PROVIDERS = ("anthropic", "openai", "google", "prime", "openrouter", "bedrock", "vertex", "mistral", "groq", "xai")
+
+
+#: fixed values: (class, pattern of a provider's error type, statuses) of broken-off streams, the first that fits wins
+STREAM_FAILURES = (
+    ("refusal", "^refusal$", ()),
+    ("safety", "sensitive|safety|prohibited_content|blocklist|spii|recitation|content.?filter|guardrail|flagged", ()),
+    ("overloaded", "overloaded", (529,)),
+    ("rate_limit", "rate_limit|throttl", (429,)),
+    ("auth", "authentication|permission|unauthorized", (401, 403)),
+    ("invalid_request", "invalid_request|not_found_error", (400, 404)),
+    ("malformed_response", "malformed", ()),
+)
 
 
 def first_of(text: Column, classes: tuple[tuple[str, str], ...], otherwise: str) -> Column:
@@ -45,12 +59,20 @@ def call_error(text: Column) -> Column:
     return first_of(text, CALL_ERRORS, "other")
 
 
+def stream_failure(kind: Column, status: Column) -> Column:
+    """Class of a stream that broke off, by the provider's error type and the HTTP status; either may be null."""
+    low, out = F.lower(F.coalesce(kind, F.lit(""))), F
+    for name, pattern, statuses in STREAM_FAILURES:
+        out = out.when(low.rlike(pattern) | F.coalesce(status.isin(*statuses) if statuses else F.lit(False), F.lit(False)), name)
+    return out.when(low.rlike("api_error|server_error|unavailable") | F.coalesce(status >= 500, F.lit(False)), "server_error").otherwise("unknown")
+
+
 def model_family(name: Column) -> Column:
-    return first_of(name, tuple((m, m) for m in MODELS), "other")
+    return first_of(name, tuple((m, m) for m in MODELS), "custom")
 
 
 def provider_family(name: Column) -> Column:
-    return F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(first_of(name, tuple((p, p) for p in PROVIDERS), "other"))
+    return F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(first_of(name, tuple((p, p) for p in PROVIDERS), "custom"))
 
 
 def command_key(command: Column) -> Column:
@@ -84,23 +106,31 @@ def model_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
+def units(text: Column, most: int) -> Column:
+    """The first `most` UTF-16 units; a pair that the cut would part goes whole."""
+    raw = F.encode(text, "UTF-16BE")
+    last = F.hex(F.substring(raw, 2 * most - 1, 1)) if most else F.lit("")
+    kept = F.substring(raw, F.lit(1), F.when(last.between("D8", "DB"), 2 * most - 2).otherwise(2 * most))
+    return F.when(utf16(text) == F.length(text), F.substring(text, 1, most)).otherwise(F.decode(kept, "UTF-16BE"))
+
+
 def label(text: Column, most: int = 80) -> Column:
-    """One line of at most `most` characters, the last an ellipsis where it was cut."""
+    """One line of at most `most` UTF-16 units, the last an ellipsis where it was cut."""
     flat = collapse(text)
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…")))
+    return F.when(utf16(flat) <= most, flat).otherwise(F.concat(F.rtrim(units(flat, most - 1)), F.lit("…")))
 
 
 def clamp(text: Column, most: int) -> Column:
-    return F.substring(collapse(text), 1, most)
+    return units(collapse(text), most)
 
 
 def cut_line(line: Column, most: int = 500) -> Column:
-    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most), F.lit("... [truncated]")))
+    return F.when(utf16(line) <= most, line).otherwise(F.concat(units(line, most), F.lit("... [truncated]")))
 
 
 def cut_summary(text: Column, most: int = 2000) -> Column:
-    gone = (F.length(text) - most).cast("string")
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("\n\n[... "), gone, F.lit(" more characters truncated]")))
+    gone = (utf16(text) - most).cast("string")
+    return F.when(utf16(text) <= most, text).otherwise(F.concat(units(text, most), F.lit("\n\n[... "), gone, F.lit(" more characters truncated]")))
 
 
 def size_label(n: Column) -> Column:

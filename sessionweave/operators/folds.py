@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
 import pandas as pd
@@ -131,19 +132,20 @@ def rate_limited(requests: DataFrame, key: str, order: str, at_ms: str, capacity
 def claimed(jobs: DataFrame, ticks: DataFrame) -> DataFrame:
     """(job, tick, at, due): what each tick claims of interval jobs (job, next_ms, every_ms, busy_ms).
 
-    A tick claims a job that is due and not still busy with its last claim; times missed in between
-    fall into one claim, and the next run is the first one after the tick.
+    At a tick a job that is due moves on to one interval after the tick (a job without an interval is
+    done). It is claimed, unless its last claim still keeps it busy: then this run is skipped.
     """
 
     def fold(key: tuple, job: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, when = [], at.sort_values("at")
+        times, names = when["at"].tolist(), when["tick"].tolist()
         for j in job.itertuples(index=False):
-            due, free = j.next_ms, 0
-            for t in at.sort_values("at").itertuples(index=False):
-                if due is not None and t.at >= due and t.at >= free:
-                    out.append((j.job, t.tick, t.at, due))
-                    free = t.at + j.busy_ms
-                    due = due + ((t.at - due) // j.every_ms + 1) * j.every_ms if j.every_ms > 0 else None
+            due, free, k = j.next_ms, None, 0
+            while due is not None and (k := bisect_left(times, due, k)) < len(times):
+                if free is None or times[k] >= free:
+                    out.append((j.job, names[k], times[k], due))
+                    free = times[k] + j.busy_ms
+                due, k = times[k] + j.every_ms if j.every_ms > 0 else None, k + 1
         return pd.DataFrame(out, columns=["job", "tick", "at", "due"])
 
     return jobs.groupBy("store").cogroup(ticks.groupBy("store")).applyInPandas(fold, "job string, tick long, at long, due long")

@@ -92,11 +92,11 @@ def usage_summary(usage: Column) -> Column:
     return F.when((sent > 0) | (n(usage["output"]) > 0) | (cost > 0), F.struct(sent.alias("input"), n(usage["output"]).alias("output"), cost.alias("cost")))
 
 
-def listing(spark: SparkSession, roots: list[str], cwd: str | None = None) -> DataFrame:
+def listing(spark: SparkSession, roots: list[str], cwd: str | None = None, glob: str = "*.jsonl") -> DataFrame:
     """(file, session_id, cwd, messages, modified, name, state) of the valid logs under some folders, newest first."""
     raw = None
     for root in roots:
-        part = session_log.lines(spark, root)
+        part = session_log.lines(spark, root, glob)
         raw = part if raw is None else raw.unionByName(part)
     log = session_log.entries(raw.distinct())
     spoken = (F.col("type") == "message") & F.col("message.role").isin("user", "assistant")

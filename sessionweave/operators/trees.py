@@ -2,19 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder of spark.checkpoint.dir; without one, only on a local master, it stays as it is."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return df
+
+
+def _climbed(nodes: DataFrame, state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 64) -> DataFrame:
+    """state (id, ...) after step(state, jumps) with jumps (id, up) of 1, 2, 4, ... edges, while any is left.
+
+    Every round works on one row per node, whatever the depth. A cycle ends once jumps are longer than
+    there are nodes.
+    """
+    n = nodes.count()
+    jumps = _cut(nodes.where("up is not null and id != up").select("id", "up"))
+    for k in range(most_rounds):
+        if jumps.isEmpty() or 1 << k > n:
+            break
+        state = _cut(step(state, jumps))
+        jumps = _cut(jumps.join(jumps.select(F.col("id").alias("up"), F.col("up").alias("_far")), "up").select("id", F.col("_far").alias("up")))
+    return state
+
+
+def _pointers(edges: DataFrame, id_: str, parent: str) -> DataFrame:
+    """(id, up): parents that are there; no node is its own."""
+    there = edges.select(F.col(id_).alias("up")).distinct()
+    return edges.select(F.col(id_).alias("id"), F.col(parent).alias("up")).join(there.withColumn("_is", F.lit(True)), "up", "left").select("id", F.when(F.col("_is") & (F.col("up") != F.col("id")), F.col("up")).alias("up"))
+
+
+def totals(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFrame:
+    """(id, total, descendants): a node's own value and all below it, by sums that double in depth."""
+
+    def step(state: DataFrame, jumps: DataFrame) -> DataFrame:
+        below = state.join(jumps, "id").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"))
+        return state.join(below, "id", "left").select("id", (F.col("total") + F.coalesce("_t", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+
+    own = nodes.select(F.col(id_).alias("id"), F.col(value).alias("total"), F.lit(1).cast("long").alias("n"))
+    out = _climbed(_pointers(nodes, id_, parent), own, step)
+    return out.select(F.col("id").alias(id_), "total", (F.col("n") - 1).alias("descendants"))
+
+
+def inherited(nodes: DataFrame, id_: str, parent: str, value: Column, own: bool = True) -> DataFrame:
+    """(id, value): the nearest non-null value at or above each node, or above it alone."""
+    up = _pointers(nodes, id_, parent)
+    held = nodes.select(F.col(id_).alias("id"), value.alias("value"))
+    above = held.select(F.col("id").alias("up"), F.col("value").alias("_above"))
+    first = held if own else up.join(above, "up", "left").select("id", F.col("_above").alias("value"))
+
+    def step(state: DataFrame, jumps: DataFrame) -> DataFrame:
+        far = state.select(F.col("id").alias("up"), F.col("value").alias("_far"))
+        return state.join(jumps.join(far, "up").select("id", "_far"), "id", "left").select("id", F.coalesce("value", "_far").alias("value"))
+
+    return _climbed(up, first, step).withColumnRenamed("id", id_)
+
+
+def paths_up(edges: DataFrame, id_: str, parent: str, asked: DataFrame) -> DataFrame:
+    """(descendant, ancestor, distance) as closure() has it, for the asked ids (a column `id`) alone."""
+    first = asked.select(F.col("id").alias("descendant"), F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance")).distinct()
+    there = edges.select(F.col(id_).alias("ancestor")).distinct()
+    k = [0]
+
+    def step(state: DataFrame, jumps: DataFrame) -> DataFrame:
+        far = state.join(jumps.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("descendant", F.col("up").alias("ancestor"), (F.col("distance") + (1 << k[0])).alias("distance"))
+        k[0] += 1
+        return state.unionByName(far).groupBy("descendant", "ancestor").agg(F.min("distance").alias("distance"))
+
+    return _climbed(edges.select(F.col(id_).alias("id"), F.col(parent).alias("up")), first.join(there, "ancestor", "left_semi"), step)
+
+
 def closure(edges: DataFrame, id_: str, parent: str, checkpoint=None, most_rounds: int = 64) -> DataFrame:  # noqa: ANN001
     """(descendant, ancestor, distance) of every node, itself at 0. A cycle is followed once around.
 
-    Paths double in length each round, so rounds grow with the logarithm of the depth. `checkpoint`
-    maps a frame to one with its lineage cut; by default the session's checkpoint folder is used.
+    A chain of n nodes has n * n / 2 such rows: totals(), inherited() and paths_up() answer most
+    questions without them. Paths double in length each round, so rounds grow with the logarithm of
+    the depth. `checkpoint` maps a frame to one with its lineage cut; by default the session's
+    checkpoint folder is used.
     """
-    spark = edges.sparkSession
-    cut = checkpoint or (lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else df.cache())
+    cut = checkpoint or _cut
     pairs = edges.select(F.col(id_).alias("descendant"), F.col(parent).alias("ancestor")).where("ancestor is not null and descendant != ancestor").distinct()
     nodes = edges.select(F.col(id_).alias("descendant")).distinct()
     known = cut(pairs.withColumn("distance", F.lit(1).cast("long")))

@@ -362,12 +362,20 @@ _TREE = "(SELECT p_partkey AS id, CASE WHEN p_partkey >= 3 THEN p_partkey // 3 E
 _CLOSED = f"(WITH RECURSIVE t AS (SELECT id, id AS anc, CAST(0 AS BIGINT) AS dist FROM {_TREE} UNION ALL SELECT t.id, x.parent, dist + 1 FROM t JOIN {_TREE} x ON x.id = t.anc WHERE x.parent IS NOT NULL) SELECT * FROM t)"
 
 
-def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
-    nodes = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 3, F.floor(F.col("p_partkey") / 3)).alias("parent"), F.col("p_retailprice").alias("v"))
+    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 3, F.floor(F.col("p_partkey") / 3)).alias("parent"), F.col("p_retailprice").alias("v"))
+
+
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = _nodes(spark, d)
     return nodes, trees.closure(nodes, "id", "parent")
 
 
+def _paths(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    return trees.paths_up(_nodes(spark, d), "id", "parent", asked)
+
+
 @query(f"SELECT id AS descendant, anc AS ancestor, dist AS distance FROM {_CLOSED}")
 def tree_closure(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d)[1]
@@ -375,9 +383,7 @@ def tree_closure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT anc AS id, round(sum(v), 4) AS total, count(*) - 1 AS descendants FROM {_CLOSED} c JOIN {_TREE} n ON n.id = c.id WHERE anc IN (SELECT id FROM {_TREE}) GROUP BY 1")
 def recursive_rollups(spark: SparkSession, d: str) -> DataFrame:
-    nodes, closed = _tree(spark, d)
-    out = trees.rollup(nodes.select("id", "v"), closed.join(nodes, closed.ancestor == nodes.id, "left_semi"), "id", "v")
-    return out.withColumn("total", _r("total", 4))
+    return trees.totals(_nodes(spark, d), "id", "parent", "v").withColumn("total", _r("total", 4))
 
 
 @query(f"SELECT DISTINCT id FROM {_CLOSED} WHERE anc IN (7, 11)")
@@ -389,30 +395,31 @@ def session_subtree(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT DISTINCT anc AS id FROM {_CLOSED} c JOIN (SELECT p_partkey FROM part WHERE p_name LIKE '%1%') h ON h.p_partkey = c.id")
 def matches_with_ancestors(spark: SparkSession, d: str) -> DataFrame:
     hits = _t(spark, d, "part").where("p_name LIKE '%1%'").select(F.col("p_partkey").alias("id"))
-    return trees.with_ancestors(_tree(spark, d)[1], hits, "id")
+    return trees.with_ancestors(_paths(spark, d, hits), hits, "id")
 
 
 @query(f"SELECT a, b, arg_min(x.anc, x.dist) AS common FROM (SELECT p_partkey AS a, p_partkey // 2 + 1 AS b FROM part) p JOIN {_CLOSED} x ON x.id = p.a JOIN {_CLOSED} y ON y.id = p.b AND y.anc = x.anc GROUP BY 1, 2")
 def common_ancestors(spark: SparkSession, d: str) -> DataFrame:
     pairs = _t(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.floor(F.col("p_partkey") / 2) + 1).alias("b"))
-    return trees.common_ancestor(_tree(spark, d)[1], pairs, "a", "b")
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    return trees.common_ancestor(_paths(spark, d, asked), pairs, "a", "b")
 
 
 @query(f"SELECT id, CASE WHEN parent IN (SELECT id FROM {_TREE} WHERE id % 4 <> 0) THEN parent END AS parent FROM {_TREE} WHERE id % 4 <> 0")
 def orphans_promoted(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _tree(spark, d)[0].where("id % 4 != 0")
+    nodes = _nodes(spark, d).where("id % 4 != 0")
     return trees.promoted(nodes, "id", "parent").select("id", "parent")
 
 
 @query(f"SELECT n.id, arg_min(anc, dist) AS parent FROM (SELECT id FROM {_TREE} WHERE id % 4 <> 0) n LEFT JOIN (SELECT id, anc, dist FROM {_CLOSED} WHERE dist > 0 AND anc IN (SELECT id FROM {_TREE} WHERE id % 4 <> 0)) c ON c.id = n.id GROUP BY 1")
 def nearest_visible(spark: SparkSession, d: str) -> DataFrame:
-    nodes, closed = _tree(spark, d)
-    return trees.nearest(closed, nodes.where("id % 4 != 0"), "id")
+    shown = F.col("id") % 4 != 0
+    return trees.inherited(_nodes(spark, d), "id", "parent", F.when(shown, F.col("id")), own=False).where(shown).withColumnRenamed("value", "parent")
 
 
 @query(f"SELECT parent AS id, count(*) AS n_children, min(id) AS first_child FROM {_TREE} WHERE parent IS NOT NULL GROUP BY 1")
 def children_of(spark: SparkSession, d: str) -> DataFrame:
-    return trees.children(_tree(spark, d)[0], "id", "parent", F.col("id"))
+    return trees.children(_nodes(spark, d), "id", "parent", F.col("id"))
 
 
 @query("SELECT conv_id AS session_id, conv_id || ':' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM conversations")
@@ -561,7 +568,14 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).alias("text"))
 
 
-@query()
+_CUT = """WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, len(l) AS n, octet_length(encode(t)) AS bytes, list_transform(l, lambda y: octet_length(encode(y))) AS b FROM x),
+k AS (SELECT *, n <= 5 AND bytes <= 2000 AS whole, coalesce(list_max(list_filter([1, 2, 3, 4, 5], lambda i: i <= n AND list_sum(b[1:i]) + i - 1 <= 2000)), 0) AS h, coalesce(list_max(list_filter([1, 2, 3, 4, 5], lambda i: i <= n AND list_sum(b[n - i + 1:n]) + i - 1 <= 2000)), 0) AS g FROM n),
+p AS (SELECT *, CASE WHEN whole THEN t WHEN h = 0 THEN '' ELSE array_to_string(l[1:h], chr(10)) END AS hc, CASE WHEN whole THEN t WHEN g = 0 THEN right(l[n], coalesce(list_max(list_filter(range(0, 2001), lambda i: i <= length(l[n]) AND octet_length(encode(right(l[n], i))) <= 2000)), 0)) ELSE array_to_string(l[n - g + 1:n], chr(10)) END AS tc FROM k)
+SELECT doc_id, hc AS head_content, NOT whole AS head_truncated, CASE WHEN NOT whole THEN CASE WHEN h = 5 THEN 'lines' ELSE 'bytes' END END AS head_truncated_by, CASE WHEN whole THEN n ELSE h END AS head_output_lines, octet_length(encode(hc)) AS head_output_bytes, tc AS tail_content, NOT whole AS tail_truncated, CASE WHEN NOT whole THEN CASE WHEN g = 5 THEN 'lines' ELSE 'bytes' END END AS tail_truncated_by, CASE WHEN whole THEN n ELSE greatest(g, 1) END AS tail_output_lines, octet_length(encode(tc)) AS tail_output_bytes FROM p"""
+
+
+@query(_CUT)
 def truncated_documents(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "documents").select("doc_id", truncated(False, 5, 2000)("text").alias("head"), truncated(True, 5, 2000)("text").alias("tail"))
     return t.select("doc_id", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("head", "tail") for c in ("content", "truncated", "truncated_by", "output_lines", "output_bytes")))
@@ -599,18 +613,22 @@ def replay_cursors(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("event_id", r["status"].alias("status"), r["reason"].alias("reason"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(date_trunc('milliseconds', ts)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(date_trunc('milliseconds', ts)), event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, CAST(3 AS BIGINT) AS had, t AS since, t FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, least(3, s.had - CASE WHEN s.had > 0 THEN 1 ELSE 0 END + greatest(0, e.t - s.since) // 3600000), s.since + greatest(0, e.t - s.since) // 3600000 * 3600000, e.t FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, event_id, had > 0 AS ok, CASE WHEN had = 0 THEN greatest(1, since + 3600000 - t) END AS retry_after_ms FROM s""")
 def rate_limited_messages(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("ms", F.unix_millis("ts"))
     return folds.rate_limited(e, "user_id", "event_id", "ms", 3, 3_600_000)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+s AS (SELECT conv_id, turn, n, CAST(0 AS BIGINT) AS bin, l AS used FROM c WHERE n = 1 UNION ALL SELECT c.conv_id, c.turn, c.n, s.bin + CASE WHEN s.used + c.l > 400 THEN 1 ELSE 0 END, CASE WHEN s.used + c.l > 400 THEN c.l ELSE s.used + c.l END FROM s JOIN c ON c.conv_id = s.conv_id AND c.n = s.n + 1)
+SELECT conv_id, turn, bin FROM s""")
 def packed_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return packed(_t(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 400).select("conv_id", "turn", "bin")
 
 
-@query()
+@query("""SELECT CAST(user_id AS VARCHAR) AS session, max(n) AS seq, 'text:' || string_agg(event_type, '' ORDER BY n) FILTER (n % 6 IN (3, 4, 5)) AS blocks, true AS done FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY user_id, (n - 1) // 6 HAVING count(*) = 6""")
 def rebuilt_messages(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -703,26 +721,27 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT c.id, arg_min(p_brand, dist) AS v FROM {_CLOSED} c JOIN part ON p_partkey = c.anc WHERE p_partkey % 3 = 1 GROUP BY 1")
 def along_branch(spark: SparkSession, d: str) -> DataFrame:
-    held = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).alias("v"))
-    return agents.along_branch(_tree(spark, d)[1], held, "id", "v")
+    held = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).alias("b"))
+    nodes = _nodes(spark, d).join(held, "id")
+    return trees.inherited(nodes, "id", "parent", F.col("b")).where("value is not null").withColumnRenamed("value", "v")
 
 
 @query(f"""WITH m AS (SELECT p_partkey AS a, p_partkey // 2 + 1 AS b FROM part), k AS (SELECT a, b, min(x.dist) AS shared FROM m JOIN {_CLOSED} x ON x.id = m.a JOIN {_CLOSED} y ON y.id = m.b AND y.anc = x.anc GROUP BY 1, 2)
 SELECT m.a, m.b, x.anc AS id FROM m LEFT JOIN k ON k.a = m.a AND k.b = m.b JOIN {_CLOSED} x ON x.id = m.a WHERE shared IS NULL OR x.dist < shared""")
 def left_behind(spark: SparkSession, d: str) -> DataFrame:
     moves = _t(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.floor(F.col("p_partkey") / 2) + 1).alias("b"))
-    return agents.left_behind(_tree(spark, d)[1], moves, "a", "b")
+    asked = moves.select(F.col("a").alias("id")).unionByName(moves.select(F.col("b").alias("id")))
+    return agents.left_behind(_paths(spark, d, asked), moves, "a", "b")
 
 
 @query(f"WITH t AS {_TREE}, k AS (SELECT parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY 1) SELECT t.id, o.n IS NOT NULL AND (t.parent IS NULL OR coalesce(s.n, 0) > 1) AS foldable FROM t LEFT JOIN k o ON o.parent = t.id LEFT JOIN k s ON s.parent = t.parent")
 def foldable_entries(spark: SparkSession, d: str) -> DataFrame:
-    return agents.foldable(_tree(spark, d)[0], "id", "parent").select("id", "foldable")
+    return agents.foldable(_nodes(spark, d), "id", "parent").select("id", "foldable")
 
 
 @query(f"WITH t AS {_TREE}, k AS (SELECT parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY 1), f AS (SELECT t.id FROM t LEFT JOIN k ON k.parent = t.parent WHERE t.parent IS NULL OR n > 1) SELECT c.id, arg_min(anc, dist) AS start FROM {_CLOSED} c JOIN f ON f.id = c.anc GROUP BY 1")
 def branch_segments(spark: SparkSession, d: str) -> DataFrame:
-    nodes, closed = _tree(spark, d)
-    return agents.segment_starts(nodes, closed, "id", "parent")
+    return agents.segments(_nodes(spark, d), "id", "parent")
 
 
 @query(f"SELECT anc AS session, count(DISTINCT l_suppkey) AS jobs, min(l_quantity) AS next FROM {_CLOSED} c JOIN lineitem ON l_partkey = c.id GROUP BY 1")
@@ -789,14 +808,18 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
     return live.outbox(files, sent).select("o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 8 AS store, event_id, epoch_ms(date_trunc('milliseconds', ts)) AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT store, event_id, n, t, t AS due, true AS claimed, t + 3600000 AS next, t + 5400000 AS free FROM e WHERE n = 1 UNION ALL SELECT e.store, e.event_id, e.n, e.t, s.next, e.t >= s.next AND e.t >= s.free, CASE WHEN e.t >= s.next THEN e.t + 3600000 ELSE s.next END, CASE WHEN e.t >= s.next AND e.t >= s.free THEN e.t + 5400000 ELSE s.free END FROM s JOIN e ON e.store = s.store AND e.n = s.n + 1)
+SELECT 'job' || store AS job, event_id AS tick, t AS at, due FROM s WHERE claimed""")
 def claimed_jobs(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("store", (F.col("user_id") % 8).cast("string"))
-    jobs = e.groupBy("store").agg(F.min(F.unix_millis("ts")).alias("next_ms")).select("store", F.concat(F.lit("job"), "store").alias("job"), "next_ms", F.lit(3_600_000).cast("long").alias("every_ms"), F.lit(600_000).cast("long").alias("busy_ms"))
+    jobs = e.groupBy("store").agg(F.min(F.unix_millis("ts")).alias("next_ms")).select("store", F.concat(F.lit("job"), "store").alias("job"), "next_ms", F.lit(3_600_000).cast("long").alias("every_ms"), F.lit(5_400_000).cast("long").alias("busy_ms"))
     return folds.claimed(jobs, e.select("store", F.col("event_id").alias("tick"), F.unix_millis("ts").alias("at")))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type <> 'error'),
+x AS (SELECT event_id, (SELECT min(r.event_id) FROM r WHERE r.user_id = e.user_id AND r.event_id > e.event_id) AS after FROM events e WHERE event_type = 'error' AND user_id % 2 = 0)
+SELECT 'r' || before AS source, 'r' || event_id AS target, 'continuation' AS type FROM r WHERE before IS NOT NULL UNION ALL SELECT 'child-r' || event_id, 'r' || after, 'subagent_return' FROM x WHERE after IS NOT NULL""")
 def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as requests; views of even users hang a child's return on them."""
     e = _events(spark, d).select(F.col("user_id").cast("string").alias("session"), (F.col("event_id") * 2).alias("line"), F.concat(F.lit("r"), "event_id").alias("request"), "event_type", "user_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sessionweave.plans import log_queries  # noqa: F401 (adds its queries)
 from sessionweave.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +13,19 @@ LEDGER_BYTES, LEDGER_RECORDS = 32 << 20, 100_000
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file, line, value, terminated) of every file below path; lines end at LF only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                parts = raw.as_buffer().to_pybytes().split(b"\n")
-                whole = [True] * (len(parts) - 1) + [False]
-                if not parts[-1]:
-                    parts, whole = parts[:-1], whole[:-1]
-                text = [p.decode("utf-8", errors="replace").rstrip("\r") for p in parts]
-                for i in range(0, len(text), 20_000):
-                    n = len(text[i : i + 20_000])
-                    yield pa.record_batch([pa.array([file] * n), pa.array(range(i, i + n), pa.int64()), pa.array(text[i : i + n]), pa.array(whole[i : i + n])], ["file", "line", "value", "terminated"])
-
-    return files.select("path", "content").mapInArrow(cut, "file string, line long, value string, terminated boolean")
+    """(file, line, value, terminated) of every file below path; lines end at LF only.
+
+    Files are read in splits, so no file is one row or one task's memory. Rows of a split come in order,
+    and a file's lines are numbered by a sort of its splits, in the exchange that per-file checks need anyway.
+    """
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    meta = F.col("_metadata")
+    rows = raw.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("_block"), meta["file_size"].alias("_size"), F.monotonically_increasing_id().alias("_at"), "value")
+    file = Window.partitionBy("file")
+    ordered = file.orderBy("_block", "_at")
+    numbered = rows.withColumn("line", F.row_number().over(ordered).cast("long") - 1).withColumns({"_n": F.count("*").over(file), "_bytes": F.sum(F.octet_length("value") + 1).over(file)})
+    whole = (F.col("line") < F.col("_n") - 1) | (F.col("_bytes") <= F.col("_size"))
+    return numbered.select("file", "line", F.regexp_replace(F.make_valid_utf8("value"), "\r+$", "").alias("value"), whole.alias("terminated"))
 
 
 def entries(raw: DataFrame) -> DataFrame:

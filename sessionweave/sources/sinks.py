@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or on a local master alone the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition: list[str] | None = None) -> None:
     """Replace a whole table; the committer writes aside and renames."""
     writer = df.write.mode("overwrite").format(fmt)

@@ -183,7 +183,10 @@ def test_rate_limit(spark):  # noqa: ANN001
 def test_claims_and_proposals(spark):  # noqa: ANN001
     jobs = spark.createDataFrame([("s", "j", 100, 50, 60)], "store string, job string, next_ms long, every_ms long, busy_ms long")
     ticks = spark.createDataFrame([("s", i, t) for i, t in enumerate([90, 100, 150, 260])], "store string, tick long, at long")
-    assert got(folds.claimed(jobs, ticks)) == [("j", 1, 100, 100), ("j", 3, 260, 150)]
+    # at 150 the job is due but busy until 160: that run is skipped, and the next is due at 200
+    assert got(folds.claimed(jobs, ticks)) == [("j", 1, 100, 100), ("j", 3, 260, 200)]
+    once = spark.createDataFrame([("s", "j", 95, 0, 60)], jobs.schema)
+    assert got(folds.claimed(once, ticks)) == [("j", 1, 100, 95)]
     p = spark.createDataFrame([("e", 0, "create", "a", None), ("e", 1, "update", "b", 1), ("e", 2, "update", "c", 1), ("e", 3, "create", "d", None)], "entity string, ord long, op string, value string, base long")
     assert got(folds.applied_proposals(p)) == [("e", 2, "b", 2)]
 
@@ -249,3 +252,24 @@ def test_conversations(spark):  # noqa: ANN001
     c = spark.createDataFrame([(1, 0, "user", "abcde"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
     e = session_log.from_conversations(c).orderBy("line").collect()
     assert [(x.id, x.parent, x.tokens) for x in e] == [("1:0", None, 2), ("1:1", "1:0", 0)]
+
+
+def test_trees_without_closures(spark):  # noqa: ANN001
+    n = spark.createDataFrame([(1, None, 10.0), (2, 1, 3.0), (3, 1, None), (4, 3, 2.0), (5, 99, 7.0), (6, 6, 1.0), (7, 8, 1.0), (8, 7, 1.0)], "id long, parent long, v double")
+    flat = trees.totals(n.fillna(0.0, ["v"]), "id", "parent", "v").collect()
+    assert {r.id: (r.total, r.descendants) for r in flat if r.id < 7} == {1: (15.0, 3), 2: (3.0, 0), 3: (2.0, 1), 4: (2.0, 0), 5: (7.0, 0), 6: (1.0, 0)}
+    assert {r.id: r.value for r in trees.inherited(n, "id", "parent", F.col("v")).collect()}[3] == 10.0
+    assert {r.id: r.value for r in trees.inherited(n, "id", "parent", F.col("v"), own=False).collect() if r.id < 7} == {1: None, 2: 10.0, 3: 10.0, 4: 10.0, 5: None, 6: None}
+    asked = spark.createDataFrame([(4,), (5,), (77,)], "id long")
+    assert got(trees.paths_up(n, "id", "parent", asked)) == [(4, 1, 2), (4, 3, 1), (4, 4, 0), (5, 5, 0), (5, 99, 1)]
+
+
+def test_a_long_chain(spark):  # noqa: ANN001
+    n = 100_000
+    chain = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent", "1 AS v")
+    top = trees.totals(chain, "id", "parent", "v").where(f"id IN (0, {n // 2}, {n - 1})").collect()
+    assert {r.id: (r.total, r.descendants) for r in top} == {0: (n, n - 1), n // 2: (n // 2, n // 2 - 1), n - 1: (1, 0)}
+    named = trees.inherited(chain, "id", "parent", F.when(F.col("id") % 40_000 == 7, F.col("id")))
+    assert {r.id: r.value for r in named.where("id IN (3, 7, 39999, 99999)").collect()} == {3: None, 7: 7, 39999: 7, 99999: 80007}
+    path = trees.paths_up(chain, "id", "parent", spark.createDataFrame([(n - 1,)], "id long"))
+    assert path.count() == n and path.where("distance = 99999 AND ancestor = 0").count() == 1

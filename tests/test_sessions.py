@@ -129,3 +129,33 @@ def test_aliases_and_family(spark):  # noqa: ANN001
     a = spark.createDataFrame([(1, "x", "f1"), (2, None, "f2")], "id long, name string, file string").withColumn("names", matching.identity_aliases(agent=F.col("name"), file=F.col("file")))
     b = spark.createDataFrame([(10, "y", "f1"), (11, "x", "f9"), (12, "q", "f2")], "sid long, name string, file string").withColumn("names", matching.identity_aliases(agent=F.col("name"), file=F.col("file")))
     assert sorted(tuple(r) for r in matching.by_alias(a, "id", "names", b, "sid", "names").collect()) == [(1, 11), (2, 12)]
+
+
+def test_lines_of_split_files(spark, tmp_path):  # noqa: ANN001
+    """Lines are numbered over the splits of a file, and only the last can be torn."""
+    want = {}
+    for name, n, torn in (("a.jsonl", 5000, True), ("b.jsonl", 1, False), ("c.jsonl", 3000, False)):
+        rows = [f"{name} {i} " + "é" * (i % 50) for i in range(n)]
+        (tmp_path / name).write_bytes("\r\n".join(rows).encode() + (b"" if torn else b"\n"))
+        want |= {(name, i): (r, not (torn and i == n - 1)) for i, r in enumerate(rows)}
+    (tmp_path / "d.jsonl").write_bytes(b"")
+    (tmp_path / "e.jsonl").write_bytes(b"x\xff\n\n")
+    want |= {("e.jsonl", 0): ("x\ufffd", True), ("e.jsonl", 1): ("", True)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = session_log.lines(spark, str(tmp_path))
+        assert raw.rdd.getNumPartitions() >= 1
+        assert {(r.file.rsplit("/", 1)[1], r.line): (r.value, r.terminated) for r in raw.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_cuts_in_utf16(spark):  # noqa: ANN001
+    from sessionweave.functions import text
+
+    said = "ab😀cd"
+    row = spark.range(1).select(*(text.units(F.lit(said), k).alias(f"u{k}") for k in range(7)), text.cut_summary(F.lit(said), 3).alias("cut"), text.label(F.lit(said), 5).alias("label"))
+    r = row.first()
+    assert [r[f"u{k}"] for k in range(7)] == ["", "a", "ab", "ab", "ab😀", "ab😀c", "ab😀cd"]
+    assert r.cut == "ab\n\n[... 3 more characters truncated]" and r.label == "ab😀…"
