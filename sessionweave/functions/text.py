@@ -175,7 +175,9 @@ def redacted(text: Column) -> Column:
 
 
 def command_parts(command: Column) -> Column:
-    return F.filter(F.transform(F.split(command, r"&&|;"), lambda p: F.trim(p)), lambda p: p != "")
+    """Commands of all lines without comments, shell options, exports and sourced files."""
+    pieces = F.transform(F.split(command, r"\n|&&|;"), lambda p: F.trim(F.regexp_replace(p, r"^\s*!", "")))
+    return F.filter(pieces, lambda p: (p != "") & ~p.rlike(r"^#|^set\s+[-+][A-Za-z]*(?:\s+[-+]?\w+)*$|^(?:export\s+\w+=|source\s+\S+|\.\s+\S+)"))
 
 
 def directory_key(path: Column) -> Column:

@@ -137,14 +137,44 @@ def upload_totals(uploads: DataFrame) -> DataFrame:
     return uploads.groupBy("status").agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
+#: fixed values: programs and patterns that tell most
+TELLING = ("rm", "mv", "cp", "git", "npm", "pnpm", "pytest", "vitest")
+CHANGING = r"\b(?:rm|mv|cp|git\s+(?:add|commit)|npm\s+install|sed\s+-i|perl\s+-pi|tee|cat\s*>|apply_patch)\b"
+
+
+def shortened_command(part: Column) -> Column:
+    """A command by what it does: test and script runners and file writers are named, other commands stay as they are."""
+    words = F.transform(F.regexp_extract_all(part, F.lit(r"""("[^"]*"|'[^']*'|\S+)"""), 1), lambda w: F.regexp_replace(w, r"""^"([^"]*)"$|^'([^']*)'$""", "$1$2"))
+    at = lambda i: F.coalesce(F.try_element_at(words, F.lit(i) if isinstance(i, int) else i), F.lit(""))
+    place = lambda w: F.array_position(words, w).cast("int")
+    rest = lambda i: F.array_join(F.slice(words, i, F.greatest(F.size(words) - i + 1, F.lit(0))), " ")
+    tail = lambda path: F.regexp_replace(path, r"^\./", "")
+    said = lambda *c: F.trim(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c)))
+    run, prefix, folder = place("run"), place("--prefix"), F.greatest(place("-C"), place("--dir"))
+    npm = said("npm ", at(run + 1), " ", rest(run + 2))
+    pnpm = F.array_join(F.filter(words, lambda _, i: (i + 1 != folder) & (i != folder)), " ")
+    vitest = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(w.rlike(r"(?:^|/)vitest/dist/cli\.js$"), i + 1))), F.lit(0))
+    joined = F.array_join(words, " ")
+    tests = F.when((at(1) == "uv") & (at(2) == "run"), place("pytest")).when(at(1).isin("python", "python3") & (at(2) == "-m") & (at(3) == "pytest"), 3).otherwise(0)
+    return (
+        F.when((at(1) == "npx") & (at(2) == "tsx") & (vitest > 2), said("vitest ", rest(vitest + 1)))
+        .when((at(1) == "npm") & (run > 0) & (F.size(words) > run), F.when((prefix > 0) & (F.size(words) > prefix), said(npm, " (", tail(at(prefix + 1)), ")")).otherwise(npm))
+        .when((at(1) == "pnpm") & (folder > 0) & (F.size(words) > folder), said(pnpm, " (", tail(at(folder + 1)), ")"))
+        .when(tests > 0, said("pytest ", rest(tests + 1)))
+        .when(F.contains(joined, F.lit("node_modules/.bin/")), F.regexp_replace(joined, r"\S*node_modules/\.bin/", ""))
+        .when((at(1) == "cat") & (at(2) == ">") & (at(3) != ""), said("write ", tail(at(3))))
+        .when(at(1) == "tee", said(F.when(place("-a") > 0, "append ").otherwise("write "), tail(at(F.size(words)))))
+        .when(at(1) == "apply_patch", "apply patch")
+        .otherwise(part)
+    )
+
+
 def command_preview(commands: DataFrame, id_: str, command: str) -> DataFrame:
-    """(id, part): the most telling part of a shell command, the first of equals."""
-    #: fixed values: programs and patterns that tell most, and their points
-    telling = ("rm", "mv", "cp", "git", "npm", "pnpm", "pytest", "vitest")
-    changing = r"\b(?:rm|mv|cp|git\s+(?:add|commit)|npm\s+install|sed\s+-i|perl\s+-pi|tee|cat\s*>|apply_patch)\b"
-    parts = commands.select(id_, F.posexplode(T.command_parts(F.col(command))).alias("k", "part"))
-    score = 30 + F.when(F.regexp_extract("part", r"^(\S+)", 1).isin(*telling), 20).otherwise(0) + F.when(F.col("part").rlike(changing), 40).otherwise(0) + F.col("k")
-    return parts.groupBy(id_).agg(F.max_by("part", F.struct(score, -F.col("k"))).alias("part"))
+    """(id, part): the most telling part of a shell command in short, the first of equals; here-documents are not looked into."""
+    parts = commands.select(id_, F.posexplode(T.command_parts(F.col(command))).alias("k", "line")).withColumn("part", shortened_command(F.col("line")))
+    first = F.regexp_replace(F.regexp_extract("line", r"""^\s*("[^"]*"|'[^']*'|\S+)""", 1), "[\"']", "")
+    score = 30 + F.when(F.col("part") != F.col("line"), 40).otherwise(0) + F.when(first.isin(*TELLING), 20).otherwise(0) + F.when(F.col("line").rlike(CHANGING), 40).otherwise(0) + F.col("k")
+    return parts.groupBy(id_).agg(T.label(T.redacted(F.max_by("part", F.struct(score, -F.col("k")))), 64).alias("part"))
 
 
 def recap(raw: Column, most_words: int = 12) -> Column:

@@ -227,20 +227,19 @@ def attributed_usage(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", _r("net", 4).alias("net"))
 
 
-@query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 0), a AS (SELECT l_orderkey, arg_max(l_extendedprice, l_linenumber * 1e9 + l_extendedprice) AS child FROM lineitem GROUP BY 1)
-SELECT o_custkey, round(sum(o_totalprice), 4) AS total, round(greatest(sum(o_totalprice) - sum(coalesce(child, 0)), 0), 4) AS own FROM orders LEFT JOIN a ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0 GROUP BY 1""")
+@query("""WITH a AS (SELECT l_orderkey, arg_max(l_extendedprice, l_linenumber * 1e9 + l_extendedprice) AS child FROM lineitem GROUP BY 1)
+SELECT o_custkey, round(sum(o_totalprice), 4) AS total, round(greatest(sum(o_totalprice) - sum(coalesce(child, 0)), 0), 4) AS own FROM orders LEFT JOIN a ON l_orderkey = o_orderkey GROUP BY 1""")
 def own_and_total_usage(spark: SparkSession, d: str) -> DataFrame:
-    orders = _t(spark, d, "orders").where("o_custkey % 3 = 0")
-    last = _t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey").agg(F.max_by("l_extendedprice", F.expr(_LINE)).alias("child"))
-    joined = orders.join(last, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    last = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_extendedprice", F.expr(_LINE)).alias("child"))
+    joined = _t(spark, d, "orders").join(last, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     total, child = F.sum("o_totalprice"), F.sum(F.coalesce("child", F.lit(0)))
     return joined.groupBy("o_custkey").agg(_r(total, 4).alias("total"), _r(F.greatest(total - child, F.lit(0)), 4).alias("own"))
 
 
-@query("""SELECT coalesce(a.id, b.id) AS id, coalesce(a.v, b.v) AS v, coalesce(a.s, b.s) AS s, CASE WHEN b.id IS NULL THEN 'live' WHEN a.id IS NULL THEN 'saved' ELSE 'both' END AS origin FROM (SELECT o_custkey AS id, max(o_totalprice) AS v, CAST(NULL AS VARCHAR) AS s FROM orders WHERE o_custkey % 5 < 3 GROUP BY 1) a FULL JOIN (SELECT c_custkey AS id, c_acctbal AS v, c_mktsegment AS s FROM customer WHERE c_custkey % 4 < 3) b ON a.id = b.id""")
+@query("""SELECT coalesce(a.id, b.id) AS id, coalesce(a.v, b.v) AS v, coalesce(a.s, b.s) AS s, CASE WHEN b.id IS NULL THEN 'live' WHEN a.id IS NULL THEN 'saved' ELSE 'both' END AS origin FROM (SELECT o_custkey AS id, max(o_totalprice) AS v, CAST(NULL AS VARCHAR) AS s FROM orders GROUP BY 1) a FULL JOIN (SELECT s_suppkey AS id, s_acctbal AS v, s_name AS s FROM supplier) b ON a.id = b.id""")
 def reconciled_sessions(spark: SparkSession, d: str) -> DataFrame:
-    live_ = _t(spark, d, "orders").where("o_custkey % 5 < 3").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v")).withColumn("s", F.lit(None).cast("string"))
-    saved = _t(spark, d, "customer").where("c_custkey % 4 < 3").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("s"))
+    live_ = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v")).withColumn("s", F.lit(None).cast("string"))
+    saved = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("s"))
     return matching.reconciled(live_, saved, "id", ["v", "s"])
 
 
@@ -358,13 +357,13 @@ def run_telemetry(spark: SparkSession, d: str) -> DataFrame:
 # trees
 
 
-_TREE = "(SELECT p_partkey AS id, CASE WHEN p_partkey >= 3 THEN p_partkey // 3 END AS parent, p_retailprice AS v FROM part)"
+_TREE = "(SELECT p_partkey AS id, CASE WHEN p_partkey >= 3 THEN p_partkey // 3 END AS parent, p_retailprice AS v, p_size AS size FROM part)"
 _CLOSED = f"(WITH RECURSIVE t AS (SELECT id, id AS anc, CAST(0 AS BIGINT) AS dist FROM {_TREE} UNION ALL SELECT t.id, x.parent, dist + 1 FROM t JOIN {_TREE} x ON x.id = t.anc WHERE x.parent IS NOT NULL) SELECT * FROM t)"
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 3, F.floor(F.col("p_partkey") / 3)).alias("parent"), F.col("p_retailprice").alias("v"))
+    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 3, F.floor(F.col("p_partkey") / 3)).alias("parent"), F.col("p_retailprice").alias("v"), F.col("p_size").alias("size"))
 
 
 def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -405,16 +404,16 @@ def common_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return trees.common_ancestor(_paths(spark, d, asked), pairs, "a", "b")
 
 
-@query(f"SELECT id, CASE WHEN parent IN (SELECT id FROM {_TREE} WHERE id % 4 <> 0) THEN parent END AS parent FROM {_TREE} WHERE id % 4 <> 0")
+@query(f"SELECT id, CASE WHEN parent IN (SELECT id FROM {_TREE} WHERE size > 12) THEN parent END AS parent FROM {_TREE} WHERE size > 12")
 def orphans_promoted(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d).where("id % 4 != 0")
+    nodes = _nodes(spark, d).where("size > 12")
     return trees.promoted(nodes, "id", "parent").select("id", "parent")
 
 
-@query(f"SELECT n.id, arg_min(anc, dist) AS parent FROM (SELECT id FROM {_TREE} WHERE id % 4 <> 0) n LEFT JOIN (SELECT id, anc, dist FROM {_CLOSED} WHERE dist > 0 AND anc IN (SELECT id FROM {_TREE} WHERE id % 4 <> 0)) c ON c.id = n.id GROUP BY 1")
+@query(f"SELECT n.id, arg_min(anc, dist) AS parent FROM (SELECT id FROM {_TREE} WHERE size > 12) n LEFT JOIN (SELECT id, anc, dist FROM {_CLOSED} WHERE dist > 0 AND anc IN (SELECT id FROM {_TREE} WHERE size > 12)) c ON c.id = n.id GROUP BY 1")
 def nearest_visible(spark: SparkSession, d: str) -> DataFrame:
-    shown = F.col("id") % 4 != 0
-    return trees.inherited(_nodes(spark, d), "id", "parent", F.when(shown, F.col("id")), own=False).where(shown).withColumnRenamed("value", "parent")
+    shown = F.col("size") > 12
+    return trees.inherited(_nodes(spark, d), "id", "parent", F.when(shown, F.col("id")), own=False).join(_nodes(spark, d).where(shown).select("id"), "id").withColumnRenamed("value", "parent")
 
 
 @query(f"SELECT parent AS id, count(*) AS n_children, min(id) AS first_child FROM {_TREE} WHERE parent IS NOT NULL GROUP BY 1")
@@ -691,10 +690,26 @@ def upload_totals(spark: SparkSession, d: str) -> DataFrame:
     return sessions.upload_totals(_events(spark, d).select(F.col("event_type").alias("status"), F.col("event_id").alias("bytes")))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'git commit -m x' WHEN 'view' THEN 'ls' ELSE 'echo b' END AS part FROM events""")
+#: commands and what their previews say
+_COMMANDS = (
+    ("cd a && git commit -m x; ls", "git commit -m x"),
+    ("ls", "ls"),
+    ("echo a; echo b", "echo b"),
+    ("set -euo pipefail\nexport A=1\n# note\nnpm --prefix ./web run build --watch", "npm build --watch (web)"),
+    ("python3 -m pytest -q tests; echo done", "pytest -q tests"),
+    ("uv run --frozen pytest 'a b'", "pytest a b"),
+    ("node_modules/.bin/eslint src", "eslint src"),
+    ("echo x | cat\ntee -a ./log.txt", "append log.txt"),
+    ("pnpm -C pkg test; sed -i s/a/b/ f", "pnpm test (pkg)"),
+    ("npx tsx ./node_modules/vitest/dist/cli.js --run t", "vitest --run t"),
+    ("API_TOKEN=abc123 run it", "API_TOKEN=<redacted> run it"),
+)
+_QUOTED = ", ".join("'" + shown.replace("'", "''") + "'" for _, shown in _COMMANDS)
+
+
+@query(f"""SELECT event_id, [{_QUOTED}][1 + CAST(k % {len(_COMMANDS)} AS INTEGER)] AS part FROM (SELECT event_id, {K} AS k FROM events)""")
 def command_previews(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_type")
-    said = F.when(e == "click", "cd a && git commit -m x; ls").when(e == "view", "ls").otherwise("echo a; echo b")
+    said = F.element_at(F.array(*(F.lit(c) for c, _ in _COMMANDS)), (1 + F.col("k") % len(_COMMANDS)).cast("int"))
     return sessions.command_preview(_events(spark, d).select("event_id", said.alias("c")), "event_id", "c")
 
 
