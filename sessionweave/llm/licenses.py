@@ -1,6 +1,7 @@
 """License scans by a positional index over the rarest words of every licence notice.
 
-Templates are word sequences of well-known licence notices. Of each template, words are looked up
+Templates are word sequences of well-known licence notices, of passages of whole licence texts that are
+theirs alone, and of one-line identifiers. Of each template, words are looked up
 from the highest IDF over all documents down, until those left out weigh too little to make a hit;
 so every place that could be a hit is voted for, whatever else the file holds. Places with the
 template's mandatory phrases are hits.
@@ -43,7 +44,28 @@ TEMPLATES = (
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("use copy modify merge publish distribute sublicense",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache license version 2",)),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3")),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ("gnu lesser general public license",)),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu affero general public license",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain the above copyright notice",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce the above copyright notice",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable for any damages",)),
+    ("bsl-1", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("wtfpl", "do what the fuck you want to public license", ("do what the fuck you want to public license",)),
+    ("ofl-1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
 )
+#: fixed values: identifiers that stand in one line of a file, with their labels
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl-3", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd",
+    "mpl 2 0": "mpl-2", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc0 1 0": "cc0", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib", "bsl 1 0": "bsl-1", "epl 2 0": "epl-2", "wtfpl": "wtfpl", "ofl 1 1": "ofl-1",
+}
+NOTICES = TEMPLATES + tuple((label, f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for name, label in IDENTIFIERS.items())
 
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -60,7 +82,7 @@ class Template:
     must: tuple[tuple[bytes, ...], ...]
 
 
-def templates(given: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES) -> tuple[Template, ...]:
+def templates(given: tuple[tuple[str, str, tuple[str, ...]], ...] = NOTICES) -> tuple[Template, ...]:
     cut = lambda s: tuple(w for w in words(s.encode()) if w)
     return tuple(Template(label, cut(text), tuple(cut(m) for m in must)) for label, text, must in given)
 
@@ -144,12 +166,13 @@ def frequencies(docs: DataFrame, known: tuple[Template, ...]) -> tuple[int, dict
     return held.pop(b"", 0), held
 
 
-def scanned(docs: DataFrame, given: tuple[tuple[str, str, tuple[str, ...]], ...] = TEMPLATES, share: float = 0.8) -> DataFrame:
+def scanned(docs: DataFrame, given: tuple[tuple[str, str, tuple[str, ...]], ...] = NOTICES, share: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base, first_word, last_word and base_labels are of PHRASES; labels adds those of templates of
     which at least `share` of the IDF weight stands at its place, anywhere in the file. score is
-    the best such share, 1 for a phrase. Null and empty texts have no words.
+    the best such share, 1 for a phrase; notices that tie, or hold one another, all give their labels.
+    Null and empty texts have no words. Rows that share an id are files of their own.
     """
     known = templates(given)
     n, held = frequencies(docs, known)
