@@ -49,6 +49,17 @@ def dropped(df: DataFrame) -> None:
     _deleted(df.sparkSession, df._written_at)
 
 
+def tables() -> set[str]:
+    """Where the tables are that this process wrote and has not deleted."""
+    return set(_paths)
+
+
+def dropped_but(df: DataFrame, before: set[str]) -> None:
+    """Delete the tables written since before was taken, all but df."""
+    for path in tables() - before - {df._written_at}:
+        _deleted(df.sparkSession, path)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all tables that this process wrote; for when the results built on them are stored."""
     for path in list(_paths):
