@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionweave.llm import decontaminate, neardup, pieces, quality, secrets
-from sessionweave.llm.shared import dropped, table, written
+from sessionweave.llm.shared import dropped, dropped_but, table, tables, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,10 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; a stage's table goes when its successor's is written."""
+    """The stages applied to documents; of the tables that a stage writes only its result stays, until its successor's is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        known = tables()
         docs = written(stage(spark, docs, sf_dir), name)
+        dropped_but(docs, known)
         if before is not None:
             dropped(before)
         before = docs
