@@ -76,46 +76,55 @@ def _tokens(column: pa.ChunkedArray | pa.Array, order: int) -> Tokens:
 
 @dataclass
 class Grams:
-    """Distinct n-grams of a batch in order of bucket, context and word."""
+    """Distinct n-grams of a batch in order of bucket, word and context, and their contexts by bucket."""
 
     of_token: np.ndarray
     bucket: np.ndarray
-    context: np.ndarray
     word: np.ndarray
-    head: np.ndarray  # first n-gram of each run of one bucket and context
-
-    @property
-    def of_head(self) -> np.ndarray:
-        """For each n-gram, the number of its run."""
-        return np.repeat(np.arange(len(self.head)), np.diff(np.append(self.head, len(self.word))))
+    context: np.ndarray  # of each n-gram, the number of its context
+    contexts: np.ndarray  # distinct ones of each bucket, in order
+    of_bucket: np.ndarray  # their buckets
 
     def cuts(self) -> tuple[np.ndarray, np.ndarray]:
-        """First n-grams of each bucket and of the end, and the first runs."""
+        """First n-grams of each bucket and of the end, and the first contexts."""
         edges = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])), len(self.bucket)) if len(self.bucket) else np.zeros(1, np.int64)
-        return edges, np.searchsorted(self.head, edges)
+        return edges, np.append(np.searchsorted(self.of_bucket, self.bucket[edges[:-1]]), len(self.contexts))
 
 
 def _grams(context: np.ndarray, word: np.ndarray, often: np.ndarray, buckets: int) -> Grams:
     # n-grams of a very frequent context are spread over buckets
     key = np.where(np.isin(context, often), _joined(context, word), W.mix(context))
     bucket = (key % U(buckets)).astype(np.int32)
-    order = np.lexsort((word, context, bucket))
+    del key
+    order = np.lexsort((context, word, bucket))
     b, c, w = bucket[order], context[order], word[order]
-    fresh, run = np.ones(len(order), bool), np.ones(len(order), bool)
-    run[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    fresh[1:] = run[1:] | (w[1:] != w[:-1])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (b[1:] != b[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
     of_token = np.empty(len(order), np.int64)
     of_token[order] = np.cumsum(fresh) - 1
-    return Grams(of_token, b[fresh], c[fresh], w[fresh], np.flatnonzero(run[fresh]))
+    b, c, w = b[fresh], c[fresh], w[fresh]
+    order = np.lexsort((c, b))
+    run = np.ones(len(order), bool)
+    run[1:] = (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(run) - 1
+    first = order[run]
+    return Grams(of_token, b, w, number, c[first], b[first])
+
+
+_ZSTD = pa.Codec("zstd")
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Eight-byte numbers, all first bytes first: of small ones nearly all compresses away."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Eight-byte numbers, all first bytes first, compressed: of small ones little is left."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
-def _from_planes(raw: bytes | None, kind: type = np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw or b"", np.uint8).reshape(8, -1).T).view(kind).ravel()
+def _from_planes(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    flat = _ZSTD.decompress(raw[8:], size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def discounts(of_counts: np.ndarray) -> np.ndarray:
@@ -166,7 +175,7 @@ class Level:
         return sums[:, :TOP] @ (np.arange(1, TOP + 1) - self.left[1:]) + TAIL * sums[:, TOP]
 
 
-ASK = "batch long, bucket int, contexts binary, sizes binary, words binary, learnt binary, low binary, below binary"
+ASK = "batch long, bucket int, contexts binary, words binary, sizes binary, context binary, learnt binary, low binary, below binary"
 ANSWER = "level int, kind int, batch long, bucket int, times binary, sums binary, stats array<long>, context long, part array<double>"
 #: kinds of answers: to a batch, numbers for the whole model, frequent contexts of the next order, sums of frequent contexts
 REPLY, STATS, FREQUENT, PART = range(4)
@@ -232,14 +241,14 @@ class Model:
                 known, value = counts, np.where(counts > 0, seen, np.log10(max(level.unseen, 1e-300)))
                 continue
             # contexts of n-grams that were never seen, in the order in which they were asked for
-            lost = np.zeros(len(g.head), bool)
-            lost[g.of_head[times == 0]] = True
-            spread = np.isin(g.context[g.head], level.often)
-            sums = np.zeros((len(g.head), TOP + 2))
+            lost = np.zeros(len(g.contexts), bool)
+            lost[g.context[times == 0]] = True
+            spread = np.isin(g.contexts, level.often)
+            sums = np.zeros((len(g.contexts), TOP + 2))
             sums[lost & ~spread] = np.concatenate([np.zeros((0, TOP + 2)), *(_from_planes(x.as_py(), np.float64).reshape(-1, TOP + 2) for x in mine["sums"])])
-            sums[spread] = level.sums[np.searchsorted(level.often, g.context[g.head][spread])]
+            sums[spread] = level.sums[np.searchsorted(level.often, g.contexts[spread])]
             back = np.log10(np.maximum(level.freed(sums), 1e-300)) - np.log10(np.maximum(1 - sums[:, -1], 1e-300))
-            value = np.where(counts > 0, seen, np.where(total > 0, value + back[g.of_head[g.of_token]] - np.log10(np.maximum(total, 1)), value))
+            value = np.where(counts > 0, seen, np.where(total > 0, value + back[g.context[g.of_token]] - np.log10(np.maximum(total, 1)), value))
         return value, counts, total, known
 
     def asked(self, rows: pa.Table, replies: pa.Table | None) -> pa.Table:
@@ -257,23 +266,22 @@ class Model:
             # all places of an n-gram have one count of the order below; it goes with what is learnt
             taught = weight > 0
             low[g.of_token[taught]], below[g.of_token[taught]] = counts[taught], total[taught]
-        edges, heads = g.cuts()
+        edges, starts = g.cuts()
         out = []
-        for a, z, i, j in zip(edges[:-1], edges[1:], heads[:-1], heads[1:], strict=True):
-            own = g.head[i:j]
-            sizes = np.diff(np.append(own, z))
-            out.append((batch, int(g.bucket[a]), g.context[own].tobytes(), _planes(sizes), g.word[a:z].tobytes(), _planes(learnt[a:z]), _planes(low[a:z]), _planes(below[a:z])))
-        return _table(list(zip(*out, strict=True)) if out else [[]] * 8, ASK)
+        for a, z, i, j in zip(edges[:-1], edges[1:], starts[:-1], starts[1:], strict=True):
+            heads = np.flatnonzero(np.append(True, g.word[a + 1 : z] != g.word[a : z - 1]))
+            numbers = (np.diff(np.append(heads, z - a)), g.context[a:z] - i, learnt[a:z], low[a:z], below[a:z])
+            out.append((batch, int(g.bucket[a]), g.contexts[i:j].tobytes(), g.word[a:z][heads].tobytes(), *map(_planes, numbers)))
+        return _table(list(zip(*out, strict=True)) if out else [[]] * 9, ASK)
 
     def answered(self, rows: pa.Table, often_from: int) -> pa.Table:
         """Counts of a bucket's n-grams in the order asked, and what the model needs of them."""
         k, lower = len(self.levels) + 1, self.levels[-1] if self.levels else None
         raw = lambda c: [x.as_py() for x in rows[c]]
-        sizes = [_from_planes(x) for x in raw("sizes")]
         asked = [np.frombuffer(x, U) for x in raw("contexts")]
-        words = [np.frombuffer(x, U) for x in raw("words")]
-        context = np.concatenate([np.repeat(c, s) for c, s in zip(asked, sizes, strict=True)])
-        word = np.concatenate(words)
+        places = [_from_planes(x) for x in raw("context")]
+        context = np.concatenate([c[i] for c, i in zip(asked, places, strict=True)])
+        word = np.concatenate([np.repeat(np.frombuffer(w, U), _from_planes(n)) for w, n in zip(raw("words"), raw("sizes"), strict=True)])
         learnt, low, below = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("learnt", "low", "below"))
         order = np.lexsort((word, context))
         c, w = context[order], word[order]
@@ -298,11 +306,11 @@ class Model:
         spread = np.isin(kinds, self.often)
         out, begin = [], 0
         none = (None,) * 5
-        for batch, own, size, n in zip(rows["batch"].to_pylist(), asked, sizes, map(len, words), strict=True):
-            got = back[begin : begin + n]
-            begin += n
+        for batch, own, place in zip(rows["batch"].to_pylist(), asked, places, strict=True):
+            got = back[begin : begin + len(place)]
+            begin += len(place)
             lost = np.zeros(len(own), bool)
-            lost[np.repeat(np.arange(len(own)), size)[got == 0]] = True
+            lost[place[got == 0]] = True
             at = np.searchsorted(kinds, own)
             told = sums[at[lost & ~spread[at]]]
             out.append((REPLY, batch, _planes(got), _planes(told.ravel()), *none[:3]))
@@ -343,7 +351,7 @@ def _scoring(m: Model):  # noqa: ANN202
     return lambda rows, got: m.scored(rows, got)
 
 
-def scored(docs: DataFrame, order: int = 2, mod: int = 7, rest: int = 2, batch_bytes: int = 10 << 20, share: int = 1024) -> DataFrame:
+def scored(docs: DataFrame, order: int = 2, mod: int = 7, rest: int = 2, batch_bytes: int = 8 << 20, share: int = 1024) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(doc_id as text) mod `mod` is `rest` are held out, and so is what has a null id

@@ -9,6 +9,7 @@ path of a text is that of its stretches between such places, and frequent stretc
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .wordhash import release
 
 MARK = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: the setting that names the model file, and where it is if that is not set
+SETTING, MODEL = "sessionweave.pieces.model", "/opt/tokenizers/piece_bpe_32k.model"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -125,7 +127,8 @@ class Coder:
             return np.array(self._fallback(MARK.encode()), np.int32).tobytes()
         text = stretch.replace(" ", MARK).encode()
         n, low, size = len(text), -1e300, len(check)
-        best, back = [low] * (n + 1), [None] * (n + 1)
+        # sixteen bytes for each byte of the stretch, however long it is
+        best, start, last = array("d", [low]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         best[0] = 0.0
         for i in range(n):
             here = best[i]
@@ -144,15 +147,15 @@ class Coder:
                     covered |= j + 1 == i + char
                     sum_ = here + scores[piece]
                     if sum_ > best[j + 1]:
-                        best[j + 1], back[j + 1] = sum_, (i, piece)
+                        best[j + 1], start[j + 1], last[j + 1] = sum_, i, piece
             if not covered and here + self.least > best[i + char]:
-                best[i + char], back[i + char] = here + self.least, (i, -1)
-        ids, at = [], n
+                best[i + char], start[i + char], last[i + char] = here + self.least, i, -1
+        ids, at = array("i"), n
         while at:
-            i, piece = back[at]
-            ids += [piece] if piece >= 0 else self._fallback(text[i:at])[::-1]
+            i, piece = start[at], last[at]
+            ids.extend([piece] if piece >= 0 else self._fallback(text[i:at])[::-1])
             at = i
-        return np.array(ids[::-1], np.int32).tobytes()
+        return np.array(ids, np.int32)[::-1].tobytes()
 
     def search_many(self, stretches: list[str], cells: int = 1 << 20, longest: int = 64) -> list[bytes]:
         """search() of many stretches at once: the trie is walked for all of one width together."""
@@ -246,12 +249,15 @@ class Coder:
         return raw.removeprefix(b" ").decode("utf-8", errors="replace")
 
 
-def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_byte_tokens, token_ids, restored.
 
     restored says that decoding token_ids gives the text. A null text has null ids and null restored,
-    and no tokens; an empty one has an empty array.
+    and no tokens; an empty one has an empty array. Among paths of equal sums the one with the longer
+    last piece is taken. A stretch without a space, however long, is searched as one; rows that share
+    an id or are equal are encoded each for itself. The model file is `path`, or what SETTING names.
     """
+    path = path or docs.sparkSession.conf.get(SETTING, MODEL)
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.loaded(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

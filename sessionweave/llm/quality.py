@@ -220,6 +220,8 @@ def judged(docs: DataFrame, model: Model, min_words: int = 50, repeat_percent: i
 
     A document of fewer than `min_words` words, or with over `repeat_percent` of them in repeated
     windows, fails outright; the forest judges the others. Null or empty text has no words and fails.
+    An anomaly that ties with the threshold is kept; rows that share an id are judged each for itself, so
+    equal rows alike.
     """
     return _judged(docs, model, ("doc_id",), min_words, repeat_percent).withColumnRenamed("_keep0", "doc_id")
 

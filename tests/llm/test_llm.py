@@ -581,6 +581,43 @@ def test_pieces_round_trip(docs, texts, empty):  # noqa: ANN001
     assert pieces.encoded(empty).count() == 0
 
 
+def test_both_searches_give_the_same_ids():
+    rng = random.Random(61)
+    for vocabulary in (toy(), pieces.Vocabulary.loaded()):
+        coder = pieces.Coder(vocabulary)
+        stretches = [" " * rng.randint(0, 2) + "".join(rng.choice("abéz漢😀 the") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+        stretches = [s.replace(" ", "") if i % 2 else " " + s.replace(" ", "") for i, s in enumerate(stretches)]
+        stretches = [s for s in stretches if s.strip()]
+        one = [coder.search(s) for s in stretches]
+        assert coder.search_many(stretches) == one == coder.search_many(stretches, longest=8) == coder.search_many(stretches, cells=64, longest=500)
+
+
+def test_texts_longer_than_a_slice(spark):  # noqa: ANN001
+    """One text of 3 MB, a near copy of it, one word of 1.5 MB, and a short text between them."""
+    rng = random.Random(62)
+    long = [rng.choice(VOCABULARY) + str(rng.randrange(10**6)) for _ in range(300_000)]
+    near = [w if i % 1000 else "changed" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, "short and clean"), (3, "\n".join(near)), (4, "é" * 750_000)]
+    assert len(rows[0][1]) > 2 << 20
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    want = {i: sum(g) for i, _, g in repeated(rows, 35)}
+    assert {i: r.n_removed for i, r in by(substrings.removed(d)).items()} == want and want[1] > 200_000
+    assert {i: r.n_repeated for i, r in by(suffixes.repeated(d)).items()} == {i: sum(g) for i, _, g in repeated(rows, 50) if any(g)}
+    assert {i: r.n_words for i, r in by(licenses.scanned(d)).items()} == {i: len(t.split()) for i, t in rows}
+    classes = by(neardup.classes(d))
+    assert classes[3].component_id == 1 and classes[4].component_id == 4 and classes[1].n_shingles == 299_996
+    encoded = by(pieces.encoded(d))
+    assert all(r.restored for r in encoded.values())
+    assert {i: (r.n_words, r.word_chars) for i, r in by(quality.judged(d, quality.Model(None, math.inf))).items()} == {i: (len(t.split()), len("".join(t.split()))) for i, t in rows}
+    assert {i: r.n_tokens for i, r in by(katz.scored(d)).items()} == {i: len(t.split()) + 1 for i, t in rows}
+    assert {i: r.n_hex for i, r in by(secrets.scanned(d)).items()} == {i: 0 for i, _ in rows}
+    b = spark.createDataFrame([(9, " ".join(long[150_000:150_030]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.occurrences(d, b).collect()} == {1, 3}
+    taught = d.selectExpr("doc_id", "text", "'xx' AS lang").unionByName(spark.createDataFrame([(i, "other words", "yy") for i in range(10, 30)], "doc_id long, text string, lang string"))
+    assert langid.predicted(taught, langid.fit(taught)).count() == 24
+
+
 def test_trie_holds_exactly_its_keys():
     keys = [(w.encode(), i) for i, w in enumerate(VOCABULARY)]
     t = pieces.Trie(keys)
