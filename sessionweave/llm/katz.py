@@ -8,7 +8,8 @@ What a batch teaches travels with the lower-order counts of each n-gram, so a bu
 backoff weights of its contexts exactly over their followers. The probability of a token is evaluated
 recursively from the lowest order up.
 
-Words and contexts are told apart by 64 bits of hash. A context that is frequent in the corpus is spread
+Words are told apart by 64 bits of hash; from order 2 on they go by short numbers, and contexts of more
+words by 64 bits of hash of these. A context that is frequent in the corpus is spread
 over all buckets, and its sums are put together afterwards.
 """
 
@@ -39,6 +40,7 @@ class Tokens:
     word: np.ndarray
     doc: np.ndarray
     first: np.ndarray  # whether a token is its document's first
+    names: np.ndarray  # at order 1 the words, then their numbers
     contexts: list[np.ndarray]  # of each order, what stands before each token; that of order 1 is 0
 
     def before(self, values: np.ndarray, at_first: int | np.integer) -> np.ndarray:
@@ -48,13 +50,20 @@ class Tokens:
         out[self.first] = at_first
         return out
 
+    def named(self, names: np.ndarray, order: int) -> None:
+        """From now on words go by their numbers, and have contexts of all orders."""
+        self.names, gram = names, names
+        for _ in range(2, order + 1):
+            self.contexts.append(self.before(gram, START))
+            gram = _joined(self.contexts[-1], names)
+
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return W.mix(context * STEP + word)
 
 
-def _tokens(column: pa.ChunkedArray | pa.Array, order: int) -> Tokens:
-    """Lower-cased words of each text and an end, with the contexts of each."""
+def _tokens(column: pa.ChunkedArray | pa.Array) -> Tokens:
+    """Lower-cased words of each text and an end."""
     words, docs, first = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for w in W.words(column):
         h, doc, n = w.hashes(lower=True), w.doc_of(), np.diff(w.bounds) + 1
@@ -66,12 +75,7 @@ def _tokens(column: pa.ChunkedArray | pa.Array, order: int) -> Tokens:
         first.append(begins)
         docs.append(np.repeat(np.arange(w.n_docs), n) + w.first)
     word = np.concatenate(words)
-    t = Tokens(word, np.concatenate(docs), np.concatenate(first), [np.zeros(len(word), U)])
-    gram = word
-    for k in range(2, order + 1):
-        t.contexts.append(t.before(gram, START))
-        gram = _joined(t.contexts[-1], word)
-    return t
+    return Tokens(word, np.concatenate(docs), np.concatenate(first), word, [np.zeros(len(word), U)])
 
 
 @dataclass
@@ -176,7 +180,7 @@ class Level:
 
 
 ASK = "batch long, bucket int, contexts binary, words binary, sizes binary, context binary, learnt binary, low binary, below binary"
-ANSWER = "level int, kind int, batch long, bucket int, times binary, sums binary, stats array<long>, context long, part array<double>"
+ANSWER = "level int, kind int, batch long, bucket int, times binary, ranks binary, sums binary, stats array<long>, context long, part array<double>"
 #: kinds of answers: to a batch, numbers for the whole model, frequent contexts of the next order, sums of frequent contexts
 REPLY, STATS, FREQUENT, PART = range(4)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -225,12 +229,16 @@ class Model:
     levels: list[Level]
     often: np.ndarray  # contexts of the next order that are spread
 
+    def numbers(self, ranks: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+        """Numbers of words, which are short, from their places in their buckets; END and START are none of them."""
+        return (ranks * self.buckets + bucket + 3).astype(U)
+
     def evaluated(self, t: Tokens, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Log10 probability of each token, its count, its context's count at the last order, and its count at the first."""
         value = counts = total = known = np.zeros(len(t.word))
         number = replies["level"].to_numpy()
         for k, level in enumerate(self.levels, 1):
-            g = _grams(t.contexts[k - 1], t.word, level.often, self.buckets)
+            g = _grams(t.contexts[k - 1], t.names, level.often, self.buckets)
             mine = replies.filter(pa.array(number == k)).sort_by("bucket")
             times = np.concatenate([np.zeros(0, np.int64), *(_from_planes(x.as_py()) for x in mine["times"])])
             total = np.full(len(t.word), level.n) if k == 1 else t.before(counts, self.docs)
@@ -239,6 +247,8 @@ class Model:
                 seen = np.log10(np.maximum(level.discounted(counts), 1e-300)) - np.log10(np.maximum(total, 1))
             if k == 1:
                 known, value = counts, np.where(counts > 0, seen, np.log10(max(level.unseen, 1e-300)))
+                ranks = np.concatenate([np.zeros(0, np.int64), *(_from_planes(x.as_py()) for x in mine["ranks"])])
+                t.named(self.numbers(ranks, g.bucket)[g.of_token], self.order)
                 continue
             # contexts of n-grams that were never seen, in the order in which they were asked for
             lost = np.zeros(len(g.contexts), bool)
@@ -255,13 +265,13 @@ class Model:
         """N-grams of the next order of a batch, by bucket."""
         k = len(self.levels) + 1
         batch, rows = rows["batch"][0].as_py(), _unpacked(rows["blob"][0])
-        t = _tokens(rows["text"], self.order)
-        g = _grams(t.contexts[k - 1], t.word, self.often, self.buckets)
+        t = _tokens(rows["text"])
+        counts, total = self.evaluated(t, replies)[1:3] if k > 1 else (None, None)
+        g = _grams(t.contexts[k - 1], t.names, self.often, self.buckets)
         weight = (rows["train"].to_numpy() * rows["count_all"].to_numpy()).astype(float)[t.doc]
         learnt = np.bincount(g.of_token, weight, minlength=len(g.word)).astype(np.int64)
         low = below = np.zeros(len(g.word), np.int64)
         if k > 1:
-            _, counts, total, _ = self.evaluated(t, replies)
             low, below = np.zeros((2, len(g.word)), np.int64)
             # all places of an n-gram have one count of the order below; it goes with what is learnt
             taught = weight > 0
@@ -271,17 +281,17 @@ class Model:
         for a, z, i, j in zip(edges[:-1], edges[1:], starts[:-1], starts[1:], strict=True):
             heads = np.flatnonzero(np.append(True, g.word[a + 1 : z] != g.word[a : z - 1]))
             numbers = (np.diff(np.append(heads, z - a)), g.context[a:z] - i, learnt[a:z], low[a:z], below[a:z])
-            out.append((batch, int(g.bucket[a]), g.contexts[i:j].tobytes(), g.word[a:z][heads].tobytes(), *map(_planes, numbers)))
+            out.append((batch, int(g.bucket[a]), _planes(g.contexts[i:j]), _planes(g.word[a:z][heads]), *map(_planes, numbers)))
         return _table(list(zip(*out, strict=True)) if out else [[]] * 9, ASK)
 
     def answered(self, rows: pa.Table, often_from: int) -> pa.Table:
         """Counts of a bucket's n-grams in the order asked, and what the model needs of them."""
         k, lower = len(self.levels) + 1, self.levels[-1] if self.levels else None
         raw = lambda c: [x.as_py() for x in rows[c]]
-        asked = [np.frombuffer(x, U) for x in raw("contexts")]
+        asked = [_from_planes(x, U) for x in raw("contexts")]
         places = [_from_planes(x) for x in raw("context")]
         context = np.concatenate([c[i] for c, i in zip(asked, places, strict=True)])
-        word = np.concatenate([np.repeat(np.frombuffer(w, U), _from_planes(n)) for w, n in zip(raw("words"), raw("sizes"), strict=True)])
+        word = np.concatenate([np.repeat(_from_planes(w, U), _from_planes(n)) for w, n in zip(raw("words"), raw("sizes"), strict=True)])
         learnt, low, below = (np.concatenate([_from_planes(x) for x in raw(c)]) for c in ("learnt", "low", "below"))
         order = np.lexsort((word, context))
         c, w = context[order], word[order]
@@ -293,8 +303,9 @@ class Model:
         c, w = c[starts], w[starts]
         owner = np.cumsum(run[starts]) - 1
         kinds = c[np.flatnonzero(run[starts])]
-        back = np.empty(len(order), np.int64)
-        back[order] = times[np.cumsum(fresh) - 1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(fresh) - 1
+        back = times[rank]
         # followers by count, and their probability at the order below, of each context
         sums = np.zeros((len(kinds), TOP + 2))
         for r in range(1, TOP + 1):
@@ -305,27 +316,26 @@ class Model:
             sums[:, TOP + 1] = np.bincount(owner, np.where(times > 0, chance, 0.0), minlength=len(kinds))
         spread = np.isin(kinds, self.often)
         out, begin = [], 0
-        none = (None,) * 5
+        bucket = rows["bucket"][0].as_py()
         for batch, own, place in zip(rows["batch"].to_pylist(), asked, places, strict=True):
-            got = back[begin : begin + len(place)]
+            got, ranks = back[begin : begin + len(place)], rank[begin : begin + len(place)]
             begin += len(place)
             lost = np.zeros(len(own), bool)
             lost[place[got == 0]] = True
             at = np.searchsorted(kinds, own)
             told = sums[at[lost & ~spread[at]]]
-            out.append((REPLY, batch, _planes(got), _planes(told.ravel()), *none[:3]))
-        many = W.signed(_joined(c, w) if k > 1 else w)[times >= often_from]
-        out.append((STATS, None, None, None, [*_of_counts(times).tolist(), int(times.sum()), int((times > 0).sum())], None, None))
-        out.append((FREQUENT, None, None, None, many.tolist(), None, None))
+            out.append((REPLY, batch, _planes(got), None if k > 1 else _planes(ranks), _planes(told.ravel()), None, None, None))
+        many = W.signed(_joined(c, w) if k > 1 else self.numbers(np.arange(len(w)), bucket))[times >= often_from]
+        out.append((STATS, None, None, None, None, [*_of_counts(times).tolist(), int(times.sum()), int((times > 0).sum())], None, None))
+        out.append((FREQUENT, None, None, None, None, many.tolist(), None, None))
         if lower:
-            out += [(PART, None, None, None, None, int(v), s.tolist()) for v, s in zip(W.signed(kinds[spread]), sums[spread], strict=True)]
-        kind, batch, times_, sums_, stats, context_, part = zip(*out, strict=True)
-        n = len(out)
-        return _table([[k] * n, kind, batch, [rows["bucket"][0].as_py()] * n, times_, sums_, stats, context_, part], ANSWER)
+            out += [(PART, None, None, None, None, None, int(v), s.tolist()) for v, s in zip(W.signed(kinds[spread]), sums[spread], strict=True)]
+        kind, batch, *rest = zip(*out, strict=True)
+        return _table([[k] * len(out), kind, batch, [bucket] * len(out), *rest], ANSWER)
 
     def scored(self, rows: pa.Table, replies: pa.Table) -> pa.Table:
         rows = _unpacked(rows["blob"][0])
-        t = _tokens(rows["text"], self.order)
+        t = _tokens(rows["text"])
         value, _, _, c_word = self.evaluated(t, replies)
         n, first = rows.num_rows, self.levels[0]
         size = np.bincount(t.doc, minlength=n)
@@ -391,7 +401,7 @@ def scored(docs: DataFrame, order: int = 2, mod: int = 7, rest: int = 2, batch_b
         many = answers.where(F.col("kind") == FREQUENT).select(F.explode("stats").alias("context")).collect()
         often = np.unique(np.append(np.array([r.context for r in many], np.int64).view(U), START))
         model = Model(order, train_docs, buckets, [*model.levels, level], often)
-        told_batches = answers.where(F.col("kind") == REPLY).select("level", "batch", "bucket", "times", "sums")
+        told_batches = answers.where(F.col("kind") == REPLY).select("level", "batch", "bucket", "times", "ranks", "sums")
         replies = told_batches if replies is None else replies.unionByName(told_batches)
     out = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_scoring(model), RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.levels[0].n).cast("long").alias("train_tokens"), "base_score", "score")
