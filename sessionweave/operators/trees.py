@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionweave.sources.sinks import scratch
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir; without one, only on a local master, it stays as it is."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return df
+    """df as a table in the shared folder, so that its lineage ends there; made in one pass."""
+    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _climbed(nodes: DataFrame, state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 64) -> DataFrame:
