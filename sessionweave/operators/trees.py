@@ -41,15 +41,30 @@ def _pointers(edges: DataFrame, id_: str, parent: str) -> DataFrame:
     return edges.select(F.col(id_).alias("id"), F.col(parent).alias("up")).join(there.withColumn("_is", F.lit(True)), "up", "left").select("id", F.when(F.col("_is") & (F.col("up") != F.col("id")), F.col("up")).alias("up"))
 
 
+def _doubled(state: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 64) -> DataFrame:
+    """state (id, up, ...) after step(state), which keeps id and up, for jumps up of 1, 2, 4, ... edges.
+
+    One table is written per round; otherwise as _climbed().
+    """
+    state = _cut(state)
+    n = state.count()
+    for k in range(most_rounds):
+        if 1 << k > n or state.where("up is not null").isEmpty():
+            break
+        far = state.select(F.col("id").alias("up"), F.col("up").alias("_next"))
+        state = _cut(step(state).join(far, "up", "left").withColumn("up", F.col("_next")).drop("_next"))
+    return state.drop("up")
+
+
 def totals(nodes: DataFrame, id_: str, parent: str, value: str) -> DataFrame:
     """(id, total, descendants): a node's own value and all below it, by sums that double in depth."""
 
-    def step(state: DataFrame, jumps: DataFrame) -> DataFrame:
-        below = state.join(jumps, "id").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"))
-        return state.join(below, "id", "left").select("id", (F.col("total") + F.coalesce("_t", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+    def step(state: DataFrame) -> DataFrame:
+        below = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"))
+        return state.join(below, "id", "left").select("id", "up", (F.col("total") + F.coalesce("_t", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
 
     own = nodes.select(F.col(id_).alias("id"), F.col(value).alias("total"), F.lit(1).cast("long").alias("n"))
-    out = _climbed(_pointers(nodes, id_, parent), own, step)
+    out = _doubled(_pointers(nodes, id_, parent).join(own, "id"), step)
     return out.select(F.col("id").alias(id_), "total", (F.col("n") - 1).alias("descendants"))
 
 
@@ -57,14 +72,14 @@ def inherited(nodes: DataFrame, id_: str, parent: str, value: Column, own: bool
     """(id, value): the nearest non-null value at or above each node, or above it alone."""
     up = _pointers(nodes, id_, parent)
     held = nodes.select(F.col(id_).alias("id"), value.alias("value"))
-    above = held.select(F.col("id").alias("up"), F.col("value").alias("_above"))
-    first = held if own else up.join(above, "up", "left").select("id", F.col("_above").alias("value"))
+    above = held.select(F.col("id").alias("up"), F.col("value").alias("value"))
+    first = up.join(held, "id") if own else up.join(above, "up", "left")
 
-    def step(state: DataFrame, jumps: DataFrame) -> DataFrame:
+    def step(state: DataFrame) -> DataFrame:
         far = state.select(F.col("id").alias("up"), F.col("value").alias("_far"))
-        return state.join(jumps.join(far, "up").select("id", "_far"), "id", "left").select("id", F.coalesce("value", "_far").alias("value"))
+        return state.join(far, "up", "left").select("id", "up", F.coalesce("value", "_far").alias("value"))
 
-    return _climbed(up, first, step).withColumnRenamed("id", id_)
+    return _doubled(first.select("id", "up", "value"), step).withColumnRenamed("id", id_)
 
 
 def paths_up(edges: DataFrame, id_: str, parent: str, asked: DataFrame) -> DataFrame:
