@@ -218,7 +218,8 @@ def log_live_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, 'user' AS role, left(t, 200) AS preview FROM (SELECT doc_id, translate(coalesce(text, ''), '"\\' || chr(10), '   ') AS t FROM documents) WHERE length(t) + 84 > 600""")
 def oversized_lines(spark: SparkSession, d: str) -> DataFrame:
     said = F.translate(F.coalesce("text", F.lit("")), '"\\\n', "   ")
-    value = F.concat(F.lit('{"type":"message","message":{"role":"user","content":[{"type":"text","text":"'), said, F.lit('"}]}} '))
+    # 84 characters around the text
+    value = F.concat(F.lit('{"type":"message","message":{"role":"user","content":[{"type":"text","text":"'), said, F.lit('"}]}}  '))
     rows = _t(spark, d, "documents").select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), value.alias("value"))
     return sessions.oversized(rows, 600).select(F.col("line").alias("doc_id"), "role", "preview")
 
