@@ -104,19 +104,22 @@ def session_groups(sessions: DataFrame, key: str) -> DataFrame:
 def catalog(entries: DataFrame, session: str, order: str, text_cap: int = 64 * 1024) -> DataFrame:
     """One row per session: first user text, messages, search text in order up to a cap, last speaker.
 
-    A session's texts are gathered in one row up to the cap: of each only its share under it.
+    A session's texts are gathered in one row up to the cap: of each only its share under it. Rows without text
+    count as messages alone; a session without any has no search text.
     """
     from pyspark.sql import Window
 
     spoken = entries.where((F.col("type") == "message") & F.col("role").isin("user", "assistant"))
-    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(session).orderBy(F.col(order).asc_nulls_last(), "text").rowsBetween(Window.unboundedPreceding, -1)
     sized = spoken.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-    capped = sized.withColumn("_part", F.when(F.col("_before") < text_cap, F.col("text")))
-    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct(order, "_part")))), lambda x: x["_part"])
+    # a text that starts right behind the cap still adds the blank before it
+    share = F.left("text", F.greatest(text_cap - F.col("_before"), F.lit(0)).cast("int"))
+    capped = sized.withColumn("_part", F.when(F.col("_before") <= text_cap, share))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("_before", "_part")))), lambda x: x["_part"])
     return capped.groupBy(session).agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col(order))).alias("first_user"),
+        F.min_by("text", F.when((F.col("role") == "user") & F.col("text").isNotNull(), F.col(order))).alias("first_user"),
         F.count("*").alias("messages"),
-        F.substring(F.array_join(texts, " "), 1, text_cap).alias("search_text"),
+        F.when(F.count("text") > 0, F.substring(F.array_join(texts, " "), 1, text_cap)).alias("search_text"),
         F.max_by("role", order).alias("last_role"),
     )
 
